@@ -225,7 +225,7 @@ FROM vnear CROSS JOIN cfg JOIN truth ON epoch_us(truth.ts) = best_us
 WHERE abs(best_us - us) <= w // 2 AND truth.electron_flux IS NOT NULL
 """
 CTES["ord"] = """
-SELECT o_orderpriority, date_trunc('day', o_orderdate) AS ts, sum(o_totalprice / 1000) AS total FROM orders GROUP BY 1, 2
+SELECT o_orderpriority, date_trunc('day', o_orderdate) AS ts, log10(sum(o_totalprice)) AS total FROM orders GROUP BY 1, 2
 """
 CTES["ordi"] = "SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY ts) - 1 AS i FROM ord"
 CTES["odev"], _osecond = _spikes("ordi", "total", "o_orderpriority")

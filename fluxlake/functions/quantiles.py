@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fluxlake.session import stage
 
 BINS = 4096
-SMALL_GROUP = 2_000_000
+SMALL_GROUP = 100_000
 BROADCAST_ROWS = 100_000
 
 

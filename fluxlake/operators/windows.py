@@ -105,15 +105,12 @@ def fill_gaps(rows: DataFrame, window: WindowSpec, columns: Sequence[str], max_g
     follows from their positions, and a run that touches the first or last row takes the one value it has.
     """
     before, after = window.rowsBetween(-max_gap, -1), window.rowsBetween(1, max_gap)
-    rows = rows.withColumn("_rows_after", F.count(F.lit(1)).over(after))
+    seen = {"_rows_after": F.count(F.lit(1)).over(after)}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).cast("double").alias("v")))
-        rows = rows.withColumns(
-            {
-                f"_prev_{c}": F.last(at, ignorenulls=True).over(before),
-                f"_next_{c}": F.first(at, ignorenulls=True).over(after),
-            }
-        )
+        seen[f"_prev_{c}"] = F.last(at, ignorenulls=True).over(before)
+        seen[f"_next_{c}"] = F.first(at, ignorenulls=True).over(after)
+    rows = rows.withColumns(seen)
     here, end = F.col(idx), F.col(idx) + F.col("_rows_after")
     filled = {}
     for c in columns:

@@ -46,16 +46,21 @@ def full_history(
     indexed: DataFrame, trees: Mapping[str, Fitted], windows: Mapping[str, Fitted], alphas: Mapping[str, float],
     cadence: timedelta, horizons: Mapping[str, int] = schemas.HORIZON_STEPS,
 ) -> DataFrame:
-    """Forecasts from every feature row with enough history, labelled with the time they are for."""
+    """Forecasts from every feature row with enough history, labelled with the time they are for.
+
+    A horizon without both models and a blend weight (too little history to train on) has none.
+    """
     parts = None
     for horizon, steps in horizons.items():
-        if horizon not in trees or horizon not in windows:
+        if horizon not in trees or horizon not in windows or horizon not in alphas:
             continue
         rows = predict_trees(trees[horizon], indexed)
         rows = predict_windows(windows[horizon], rows, groups=(), idx="row_idx")
         rows = rows.select("ts", F.lit(horizon).alias("horizon"), F.lit(steps).cast("bigint").alias("steps"),
                            "tree_pred", "sequence_pred", F.col(schemas.LOG_TARGET).alias("persistence_pred"))
         parts = rows if parts is None else parts.unionByName(rows)
+    if parts is None:
+        return indexed.sparkSession.createDataFrame([], schemas.PREDICTIONS)
     blended = blend_by_horizon(parts, alphas, "tree_pred", "sequence_pred", "model_pred")
     return to_valid_time(blended, cadence).select("valid_ts", "horizon", "model_pred", "persistence_pred")
 

@@ -12,6 +12,7 @@ from fluxlake.operators.position import over_chunks, with_row_index
 from fluxlake.operators.windows import (
     add_ema, difference_expressions, ema_chunk_rows, ema_reach, lag_expressions, rolling_expressions,
 )
+from fluxlake.session import stage
 
 DELTAS = {"delta_Bz": "Bz_lag", "delta_speed": "solar_wind_speed_lag", "delta_flux": schemas.LOG_TARGET}
 
@@ -20,9 +21,9 @@ def raw_features(prepared: DataFrame, cadence: timedelta, delta_km: float = sche
     """All feature columns, with NULL where a lag or window reaches before the series.
 
     Three shuffles: positions, the lag join, and one pass over chunks for every window. ``prepared`` is
-    read more than once, so pass it staged.
+    read twice, so pass it staged; the numbered rows are staged because both sides of the join read them.
     """
-    indexed = with_row_index(prepared, cadence)
+    indexed = stage(with_row_index(prepared, cadence), "numbered_series")
     lagged = dynamic_lag(indexed, cadence.total_seconds() / 60.0, delta_km)
 
     def build(rows, window):

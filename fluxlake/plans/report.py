@@ -15,7 +15,7 @@ from fluxlake.operators.learners import Fitted
 from fluxlake.operators.resample import resample_mean
 from fluxlake.plans.evaluate import full_history
 
-CONDITION_FORMATS = {"Bx_lag": "%.2f", "By_lag": "%.2f", "Bz_lag": "%.2f", "solar_wind_speed_lag": "%.1f", "plasma_density_lag": "%.2f"}
+CONDITION_FORMATS = {"Bx_lag": "0.00", "By_lag": "0.00", "Bz_lag": "0.00", "solar_wind_speed_lag": "0.0", "plasma_density_lag": "0.00"}
 
 
 def history_series(features: DataFrame, cadence: timedelta | None = None) -> DataFrame:
@@ -30,9 +30,10 @@ def latest_row(df: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
 
 
 def latest_conditions(features: DataFrame) -> DataFrame:
-    """Current driver readings, formatted."""
+    """Current driver readings, formatted; ties are rounded by the exact binary value."""
     row = latest_row(features, list(CONDITION_FORMATS))
-    return row.select("ts", *[F.format_string(f, F.col(c)).alias(c) for c, f in CONDITION_FORMATS.items()])
+    text = lambda c, pattern: F.call_function("format_number", F.col(c), F.lit(pattern)).alias(c)
+    return row.select("ts", *[text(c, pattern) for c, pattern in CONDITION_FORMATS.items()])
 
 
 def latest_rows(df: DataFrame, count: int, ts: str = "ts") -> DataFrame:

@@ -16,6 +16,7 @@ FIELD_SIGNAL = _struct(ts=_TS, Bx=_D, By=_D, Bz=_D, source_file=_S, ordinal=_L)
 PLASMA_SIGNAL = _struct(ts=_TS, solar_wind_speed=_D, plasma_density=_D, source_file=_S, ordinal=_L)
 TRUTH_SIGNAL = _struct(ts=_TS, electron_flux=_D)
 MEMBER_LINES = _struct(archive=_S, member=_S, member_no=_L, kind=_S, line_no=_L, path=_S, line=_S)
+PREDICTIONS = _struct(valid_ts=_TS, horizon=_S, model_pred=_D, persistence_pred=_D)
 METRICS = _struct(mae=_D, rmse=_D, r2=_D)
 
 # ---- fixed values: names tried in this order when a record file is opened --------------------

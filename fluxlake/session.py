@@ -51,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/fluxlake/{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder that nothing has written to yet, below a folder per application."""
+    return f"{shared_dir(spark)}/fluxlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
