@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fluxlake import schemas
 from fluxlake.functions.times import whole_div
-from fluxlake.operators.position import CHUNK_ROWS, over_chunks
+from fluxlake.operators.position import BUCKET_BINS, CHUNK_ROWS, over_chunks
 
 EMA_BLOCK = 512
 EMA_NEGLIGIBLE = 1e-30
@@ -138,11 +138,11 @@ def interpolate_gaps(
     return filled.dropna(subset=list(columns)) if drop_unfilled else filled
 
 
-def null_runs(df: DataFrame, column: str, keys: Sequence[str] = (), idx: str = "row_idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def null_runs(df: DataFrame, column: str, keys: Sequence[str] = (), idx: str = "row_idx", chunk_rows: int = BUCKET_BINS) -> DataFrame:
     """Every maximal run of NULLs as ``(keys.., first_idx, last_idx, run_length)``, of any length.
 
     Runs are found per chunk; pieces that touch across a chunk border are joined afterwards in a table
-    that holds a few rows per chunk border, never the series.
+    that holds at most two rows per chunk, never the series.
     """
     chunked = df.select(*keys, idx, F.col(column).isNull().alias("gap")).withColumn("_chunk", whole_div(F.col(idx), chunk_rows))
     running = W.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
