@@ -22,7 +22,7 @@ from fluxlake.operators.scaling import ScalerParam, apply_scaler, fit_robust_sca
 from fluxlake.plans.datasets import horizon_datasets
 from fluxlake.plans.features import feature_table
 from fluxlake.plans.prepare import clean_series
-from fluxlake.session import stage, use_utc
+from fluxlake.session import stage, settle
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ORDERS = (
@@ -52,11 +52,11 @@ def forget() -> None:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return use_utc(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return settle(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return use_utc(spark).read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    return settle(spark).read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
 
 
 def _step(spark: SparkSession, sf_dir: str) -> tuple[int, int]:

@@ -93,10 +93,12 @@ def text_lines(events: DataFrame) -> DataFrame:
     member = F.col("user_id") % 3
     text = F.when(member == 0, line_a()).when(member == 1, line_b()).when(F.col("event_id") % 2 == 0, line_a()).otherwise(line_b())
     line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("  # "), text)).otherwise(text)
-    return events.select(
+    row = F.struct(
         F.lit("events").alias("archive"), F.concat(F.lit("m"), member.cast("string"), F.lit(".txt")).alias("member"),
         F.col("event_id").alias("line_no"), line.alias("line"),
     )
+    # A generator keeps filters on the line from being pushed into the expressions that build it.
+    return events.select(F.inline(F.array(row)))
 
 
 def _zipped(group: pd.DataFrame) -> pd.DataFrame:

@@ -312,11 +312,11 @@ _FINAL = {
     "scaler_apply": f"SELECT ts, {_rs(s.SCALED_DRIVERS)} FROM pre",
     "profile_source": " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS n_nulls,
-            CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
+            CAST(min({e}) AS VARCHAR) AS min_value, CAST(max({e}) AS VARCHAR) AS max_value,
             (SELECT string_agg(CAST({c} AS VARCHAR), ', ' ORDER BY event_id) FROM (SELECT * FROM events ORDER BY event_id LIMIT 3)) AS sample
             FROM events"""
-        for c, t in [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
-                     ("value", "double"), ("props", "string")]
+        for c, e, t in [("event_id", "event_id", "bigint"), ("ts", "ts", "timestamp_ntz"), ("user_id", "user_id", "bigint"),
+                        ("event_type", "event_type", "string"), ("value", "value + 0", "double"), ("props", "props", "string")]
     ),
     "time_coverage": "SELECT count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, CAST(7 AS BIGINT) AS n_columns FROM grid",
     "null_fill_values": f"""SELECT event_id, {_r('CASE WHEN raw >= -1e20 THEN raw END', 'one_sided')},

@@ -1,4 +1,4 @@
-"""Time arithmetic on naive UTC stamps. All of it assumes a UTC session (``session.use_utc``)."""
+"""Time arithmetic on naive UTC stamps. All of it assumes a UTC session (``session.settle``)."""
 
 from __future__ import annotations
 

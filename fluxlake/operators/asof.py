@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import micros_of, to_micros, whole_div
-from fluxlake.session import use_utc
+from fluxlake.session import settle
 
 CELLS_PER_TOLERANCE = 64
 
@@ -35,7 +35,7 @@ def asof_nearest(
     than the tolerance (a cell of w microseconds cannot hold more than w stamps per side, however the
     data is spread), and what a cell cannot see is carried over from one summary row per cell.
     """
-    use_utc(left.sparkSession)
+    settle(left.sparkSession)
     width = max(1, micros_of(tolerance) // cells_per_tolerance)
     reach = micros_of(tolerance) // width + 1
     group = [*keys, "cell"]

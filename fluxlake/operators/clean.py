@@ -12,7 +12,7 @@ from fluxlake import schemas
 from fluxlake.functions.guards import drop_fill, drop_nonpositive
 from fluxlake.functions.quantiles import exact_quantiles
 from fluxlake.functions.times import DAY_US, to_micros
-from fluxlake.session import use_utc
+from fluxlake.session import settle
 
 
 def clean_flux(df: DataFrame, column: str = "electron_flux") -> DataFrame:
@@ -35,7 +35,7 @@ def drop_corrupt_stamps(
     The median is taken over the in-bounds records (over all, for a file that has none) and is exact
     for files of any size. ``now`` is an argument so that a run can be repeated.
     """
-    use_utc(df.sparkSession)
+    settle(df.sparkSession)
     us = to_micros(ts)
     earliest = to_micros(F.lit(schemas.EARLIEST_STAMP).cast("timestamp_ntz"))
     latest = to_micros(F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")) + F.lit(DAY_US)

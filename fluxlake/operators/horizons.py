@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake import schemas
@@ -96,15 +97,22 @@ def summarise_windows(
     datasets: DataFrame, length: int, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS),
     groups: Sequence[str] = ("horizon", "split"), idx: str = "split_idx",
 ) -> DataFrame:
-    """Mean and net change of each input over the ``length`` latest rows, without building them."""
+    """Mean and net change of each input over the ``length`` latest rows, without building them.
+
+    Differences of running sums inside a chunk make the cost per row independent of ``length``.
+    ``inputs`` must have no NULL.
+    """
 
     def build(rows, window):
-        frame = window.rowsBetween(-(length - 1), 0)
-        columns = {"_have": F.count(F.lit(1)).over(frame)}
+        running = window.rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumns({f"{c}__sum": F.sum(c).over(running) for c in inputs})
+        columns = {"_full": F.lag(idx, length - 1).over(window).isNotNull()}
         for c in inputs:
-            columns[f"{c}__mean"] = F.avg(c).over(frame)
-            columns[f"{c}__change"] = F.col(c) - F.first(c).over(frame)
-        return rows.withColumns(columns)
-
-    built = over_chunks(datasets, build, length - 1, 0, groups, idx, max(CHUNK_ROWS, length))
-    return built.where(F.col("_have") == length).drop("_have")
+            before = F.coalesce(F.lag(f"{c}__sum", length).over(window), F.lit(0.0))
+            columns[f"{c}__mean"] = (F.col(f"{c}__sum") - before) / F.lit(float(length))
+            columns[f"{c}__change"] = F.col(c) - F.lag(c, length - 1).over(window)
+        return rows.withColumns(columns).drop(*[f"{c}__sum" for c in inputs])
+
+    # One more row back than the window, so that the sum before its first row is there.
+    built = over_chunks(datasets, build, length, 0, groups, idx, max(CHUNK_ROWS, length))
+    return built.where("_full").drop("_full")

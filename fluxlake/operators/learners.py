@@ -101,14 +101,14 @@ def train_windows(
     """A linear model over the ``length`` latest rows of each row, summarised per input.
 
     Summaries keep the volume at three numbers per input instead of ``length``; windows never cross
-    from one split into another.
+    from one split into another. The normal equations are summed up in one pass over the rows.
     """
     columns = window_inputs(inputs)
     both = dataset.where(F.col("split").isin("train", "val"))
     windows = summarise_windows(both, length, inputs).withColumn("is_val", F.col("split") == "val")
     rows = stage(_vector(windows, columns).select("inputs", "y", "is_val"), "window_rows")
     learner = LinearRegression(
-        featuresCol="inputs", labelCol="y", regParam=regularisation, elasticNetParam=elastic_net, solver="l-bfgs"
+        featuresCol="inputs", labelCol="y", regParam=regularisation, elasticNetParam=elastic_net, solver="normal"
     )
     model = Pipeline(stages=[learner]).fit(rows.where("NOT is_val"))
     error = _validation_rmse(model, rows)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import DAY_US, bin_number, bin_start, micros_of, to_micros
-from fluxlake.session import stage, use_utc
+from fluxlake.session import stage, settle
 
 SPINE_CHUNK = 65_536
 
@@ -49,7 +49,7 @@ def resample_mean(
     The raw rows are scanned once: bins are averaged (partial sums before the shuffle), staged, and
     only that small table is read again to find the bounds and fill the spine.
     """
-    use_utc(df.sparkSession)
+    settle(df.sparkSession)
     origin = _origin_us(df, ts, cadence)
     binned = stage(
         df.where(F.col(ts).isNotNull())
@@ -96,7 +96,7 @@ def align_records(
     Both grids are dense, so the join is the overlap of their periods: one aggregate with bounds per
     side replaces two resamples, an outer and an inner join.
     """
-    use_utc(records.sparkSession)
+    settle(records.sparkSession)
     origin = _origin_us(records, ts, cadence)
     of_target = F.col("part") == target
     binned = stage(

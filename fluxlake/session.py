@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Stamps are naive UTC and bin arithmetic goes through the session zone. Generated methods beyond 8,000 bytes
+# are not compiled by the JVM, and interpreting them is slower than running without whole-stage code.
+SQL_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def build_session(app_name: str = "fluxlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here relies on."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **SQL_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
@@ -25,10 +30,11 @@ def build_session(app_name: str = "fluxlake", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Stamps are naive UTC: bin arithmetic goes through the session zone, so pin it."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def settle(spark: SparkSession) -> SparkSession:
+    """Apply the SQL settings that results or speed depend on to a session made elsewhere."""
+    for name, value in SQL_SETTINGS.items():
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 3
 
@@ -22,7 +23,8 @@ def profile_source(df: DataFrame, order: Sequence[str]) -> DataFrame:
     ).first()
     stats = []
     for f in fields:
-        c = F.col(f.name)
+        # Adding zero turns a negative zero into zero.
+        c = F.col(f.name) + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         stats.append(
             F.struct(
                 F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),

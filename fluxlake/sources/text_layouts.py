@@ -85,7 +85,7 @@ def parse_text(lines: DataFrame, file: Sequence[str] = ("archive", "member")) ->
     # A generator drops unreadable lines; a filter would be pushed down and parse every line again.
     either = F.when(F.col("a").isNotNull() | F.col("b").isNotNull(), F.array(F.struct("a", "b")))
     data = read.select(*file, *carried, "line_no", F.inline(either))
-    layouts = data.groupBy(*file).agg(F.bool_or(F.col("a").isNotNull()).alias("_has_a"))
+    layouts = read.groupBy(*file).agg(F.bool_or(F.col("a").isNotNull()).alias("_has_a"))
     chosen = F.array(F.when(F.col("_has_a"), F.col("a")).otherwise(F.col("b")))
     layout = F.when(F.col("_has_a"), "A").otherwise("B").alias("layout")
     return data.join(layouts, list(file)).select(*file, *carried, "line_no", layout, F.inline(F.array_compact(chosen)))

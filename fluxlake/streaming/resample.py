@@ -12,14 +12,14 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.session import use_utc
+from fluxlake.session import settle
 
 
 def stream_resample(
     records: DataFrame, values: Sequence[str], cadence: timedelta, lateness: timedelta, keys: Sequence[str] = (), ts: str = "ts"
 ) -> DataFrame:
     """Mean per bin of a stream, for an append sink; records later than ``lateness`` are dropped."""
-    use_utc(records.sparkSession)
+    settle(records.sparkSession)
     seconds = lambda length: f"{length.total_seconds()} seconds"
     stamped = records.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", seconds(lateness))
     bins = stamped.groupBy(*keys, F.window("_event_time", seconds(cadence))).agg(*[F.avg(c).alias(c) for c in values])
