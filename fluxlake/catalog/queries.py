@@ -111,7 +111,8 @@ def parse_layout_b(spark, sf_dir):
 
 @query
 def parse_text_auto(spark, sf_dir):
-    return text_layouts.parse_text(derived.text_lines(b.events(spark, sf_dir)))
+    lines = stage(derived.text_lines(b.events(spark, sf_dir)), "text_lines")
+    return text_layouts.parse_text(lines)
 
 
 @query

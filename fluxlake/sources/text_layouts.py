@@ -8,18 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import from_micros, to_micros
+from fluxlake.session import stage
 
-# ---- fixed values: what counts as a comment, a whole number and a decimal number ---------------
-COMMENT = r"^(#|%|//|!)"
+# ---- fixed values: white space, comment marks, whole and decimal numbers -----------------------
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+DATA_LINE = f"^{SPACE}*(?!{SPACE}|#|%|//|!)."
 WHOLE_NUMBER = r"^[+-]?\d+(_\d+)*$"
 DECIMAL_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 NAMED_NUMBER = r"(?i)^[+-]?(inf|infinity|nan)$"
-SPACES = r"(?U)\s+"
 REJECT_LINES = 5
 
 
+def _is_data(line: Column) -> Column:
+    """Neither blank nor a comment; one match at the start of the line."""
+    return line.rlike(DATA_LINE)
+
+
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, SPACES, " ")), " ")
+    """Words of a line; space at either end leaves an empty one, which is dropped."""
+    return F.array_remove(F.split(line, f"{SPACE}+"), "")
 
 
 def _whole(token: Column) -> Column:
@@ -66,34 +73,33 @@ def with_layouts(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def layout_rows(lines: DataFrame, layout: str, carry: Sequence[str]) -> DataFrame:
     """``(carry.., ts, electron_flux)`` of the lines that fit layout ``a`` or ``b``."""
-    return with_layouts(lines).select(*carry, F.inline(F.when(F.col(layout).isNotNull(), F.array(layout))))
-
-
-def _is_data(line: Column) -> Column:
-    text = F.trim(F.regexp_replace(line, SPACES, " "))
-    return (text != "") & ~text.rlike(COMMENT)
+    return with_layouts(lines).where(F.col(layout).isNotNull()).select(*carry, f"{layout}.*")
 
 
 def parse_text(lines: DataFrame, file: Sequence[str] = ("archive", "member")) -> DataFrame:
     """Lines as ``(file.., line_no, layout, ts, electron_flux)``.
 
     The layout is chosen per file: one line that fits A means only its A lines count. That is one small
-    aggregate per file, combined before the shuffle, rather than a window over all lines of a file.
+    aggregate per file, combined before the shuffle, rather than a window over all lines of a file. The
+    lines are opened and parsed once and staged, because both that aggregate and the result read them.
     """
     carried = [c for c in ("member_no",) if c in lines.columns]
-    read = with_layouts(lines.where(_is_data(F.col("line"))))
-    # A generator drops unreadable lines; a filter would be pushed down and parse every line again.
-    either = F.when(F.col("a").isNotNull() | F.col("b").isNotNull(), F.array(F.struct("a", "b")))
-    data = read.select(*file, *carried, "line_no", F.inline(either))
-    layouts = read.groupBy(*file).agg(F.bool_or(F.col("a").isNotNull()).alias("_has_a"))
-    chosen = F.array(F.when(F.col("_has_a"), F.col("a")).otherwise(F.col("b")))
-    layout = F.when(F.col("_has_a"), "A").otherwise("B").alias("layout")
-    return data.join(layouts, list(file)).select(*file, *carried, "line_no", layout, F.inline(F.array_compact(chosen)))
+    read = with_layouts(lines.where(_is_data(F.col("line")))).select(*file, *carried, "line_no", "a", "b")
+    data = stage(read, "parsed_lines")
+    layouts = data.groupBy(*file).agg(F.bool_or(F.col("a").isNotNull()).alias("_has_a"))
+    record = F.when(F.col("_has_a"), F.col("a")).otherwise(F.col("b"))
+    return (
+        data.join(layouts, list(file))
+        .where(record.isNotNull())
+        .select(
+            *file, *carried, "line_no", F.when(F.col("_has_a"), "A").otherwise("B").alias("layout"),
+            record["ts"].alias("ts"), record["electron_flux"].alias("electron_flux"),
+        )
+    )
 
 
 def rejected_lines(lines: DataFrame, file: Sequence[str] = ("archive", "member")) -> DataFrame:
     """The first lines of each file that has data lines but fits neither layout, to look at by hand."""
-    text = F.trim(F.regexp_replace("line", SPACES, " "))
     fits = F.col("a").isNotNull() | F.col("b").isNotNull()
     data = _is_data(F.col("line"))
     failed = (
@@ -101,7 +107,7 @@ def rejected_lines(lines: DataFrame, file: Sequence[str] = ("archive", "member")
         .agg(
             F.bool_or(data).alias("_has_data"),
             F.bool_or(data & fits).alias("_fits"),
-            F.min(F.when(text != "", F.col("line_no"))).alias("_first"),
+            F.min(F.when(F.col("line").rlike(f"(?!{SPACE})."), F.col("line_no"))).alias("_first"),
         )
         .where("_has_data AND NOT _fits")
     )
