@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from fluxlake.llm import exact_dedup, simhash, source_mix
+from fluxlake.llm import bpe, exact_dedup, simhash, source_mix, token_binary
 
 QUERIES = {
+    "op1_bpe_encode": bpe.op1_bpe_encode,
     "op4_source_mix": source_mix.op4_source_mix,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_binary": token_binary.op8_token_binary,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 
