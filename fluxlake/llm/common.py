@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,39 @@ def components(edges: DataFrame) -> DataFrame:
     if total is None:
         total = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return total
+
+
+class MemberFilter:
+    """A fixed-size bitmap of numbers: never misses a member, and lets some others through."""
+
+    BITS = 27
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def slots(number: Column) -> Column:
+        """Two bit positions of a 64-bit number, from parts of it that do not overlap."""
+        mask = F.lit((1 << MemberFilter.BITS) - 1)
+        return F.array(number.bitwiseAND(mask), F.shiftrightunsigned(number, 64 - MemberFilter.BITS))
+
+    def hold(self, numbers: np.ndarray) -> np.ndarray:
+        numbers = np.asarray(numbers, np.int64).view(np.uint64)
+        out = np.ones(len(numbers), bool)
+        for slot in (numbers & np.uint64((1 << self.BITS) - 1), numbers >> np.uint64(64 - self.BITS)):
+            out &= (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def member_filter(rows: DataFrame, number: Column | str) -> MemberFilter:
+    """A filter of the 64-bit ``number`` of all rows. It is 16 MB whatever the rows, so it may be broadcast.
+
+    Bits are gathered in 64-bit words by an aggregate. When most words are set it lets everything through, and the join behind
+    it is then a plain one.
+    """
+    column = F.col(number) if isinstance(number, str) else number
+    words = rows.select(F.explode(MemberFilter.slots(column)).alias("slot"))
+    words = words.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (MemberFilter.BITS - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return MemberFilter(out)
