@@ -22,12 +22,12 @@ from fluxlake.llm.common import crc_slot, documents
 from fluxlake.session import stage
 
 VOCABULARY = 1024
-CLASSES = 32
+CLASSES = 20
 HIDDEN = 16
 WINDOW = 16
 # Documents that step together in training and scoring, and tokens that are held at a time.
-TRAIN_ROWS = 128
-SCORE_ROWS = 512
+TRAIN_ROWS = 256
+SCORE_ROWS = 1024
 HOLD_TOKENS = 3_000_000
 # Sixteenths of the training documents in each round: a short one first, so that all partitions go on from a common start.
 ROUNDS = ((0, 1), (1, 5), (5, 16))
