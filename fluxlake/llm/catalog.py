@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fluxlake.llm import bpe, exact_dedup, language, line_dedup, lm, quality, simhash, source_mix, token_binary
+from fluxlake.llm import bpe, exact_dedup, language, line_dedup, lm, quality, secrets, simhash, source_mix, token_binary
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
     "op2_lm_scoring": lm.op2_lm_scoring,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
