@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -161,15 +163,19 @@ def load(path: str) -> Automaton:
 
 
 class _Kept(dict):
-    """A bounded memory of what ``make`` gives."""
+    """A bounded memory of what ``make`` gives: a young generation, and an old one from which what is used comes back."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -180,12 +186,29 @@ class ChunkEncoder:
     """
 
     def __init__(self, encode_piece, added: dict[str, int]):
-        split = regex.compile(PATTERN).findall
-        self.pieces = _Kept(lambda piece: np.array(encode_piece(piece), "<u4").tobytes(), PIECES_KEPT)
-        self.chunks = _Kept(lambda chunk: b"".join(map(self.pieces.__getitem__, split(chunk))), CHUNKS_KEPT)
-        self.added = {text: np.array([number], "<u4").tobytes() for text, number in added.items()}
+        self.encode_piece = encode_piece
+        self.split = regex.compile(PATTERN).findall
+        self.pieces = _Kept(self._piece, PIECES_KEPT)
+        self.chunks = _Kept(self._chunk, CHUNKS_KEPT)
+        self.added = {text: self._bytes([number]) for text, number in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes(self.encode_piece(piece))
+
+    def _chunk(self, chunk: str) -> bytes:
+        # Letters, with a space in front or not, are one piece.
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self._piece(chunk)
+        return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
+
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
 
