@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxlake.llm.common import components, documents, hot_join
@@ -100,27 +100,49 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return table.join(probes, "key").where(near).select("a", "b").distinct()
 
 
+_ROW = ("nameless", "id", "version")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint, component_id, fp``.
+    """One row per row of ``docs``: ``doc_id, fingerprint, component_id, fp, row, first``.
 
     Documents whose fingerprints differ in at most ``distance`` bits are linked; ``component_id`` is the smallest id
     reachable over links. NULL, empty and blank texts have fingerprint zero and are linked like any other. NULL ids
-    take part in links but are never a component's id unless it has no other. Repeated rows come out as often as they
-    came in; an empty table gives an empty result; other columns are not read.
+    take part in links but are a component's id only if it has no other. ``row`` and ``first`` are (is the id NULL, id, hash of
+    the text) of the row and of the component's first row. Repeated rows come out as often as they came in; an empty
+    table gives an empty result; other columns are not read.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.lit(1)).alias("version"))
+    prints = fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", shingle)
+    prints = stage(prints.withColumnRenamed("doc_id", "row"), "fingerprints")
     total = prints.count()
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
+    distinct = stage(prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), distance, segments))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, "fingerprint-roots")
-    heads = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
-    placed = hot_join(placed, heads, "root", "prints", placed.count()).select("fp", "component_id", "copies")
+    heads = placed.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("prints"))
+    placed = hot_join(placed.drop("first"), heads, "root", "prints", placed.count()).select("fp", "head", "copies")
     return hot_join(prints, placed, "fp", "copies", total).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp",
+        F.col("row.id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.id").alias("component_id"),
+        "fp", "row", F.col("head").alias("first"),
+    )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component: one of each.
+
+    Rows that repeat id and text are told apart by nothing, so one of them is taken.
+    """
+    first = simhash_groups(docs, id_col, text_col, **settings).where(F.col("row") == F.col("first"))
+    first = first.select(F.col("row.nameless").alias("nameless"), F.coalesce(F.col("row.id").cast("string"), F.lit("")).alias("id"), F.col("row.version").alias("version")).distinct()
+    rows = docs.select(
+        F.col(id_col).isNull().alias("nameless"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        F.xxhash64(F.col(text_col), F.lit(1)).alias("version"), F.struct("*").alias("whole"),
     )
+    turn = F.row_number().over(Window.partitionBy(*_ROW).orderBy(F.lit(1)))
+    return rows.join(first, list(_ROW), "left_semi").withColumn("turn", turn).where("turn = 1").select("whole.*")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

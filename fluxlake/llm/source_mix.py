@@ -115,19 +115,19 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as the mix takes it.
 
-    Rows are matched by id; a NULL id or ids that repeat take the decision of their own size and source.
+    Rows are in order of finish time, over partitions and inside them. They are matched by id, source and size, so rows that
+    repeat all three take one decision.
     """
-    taken = mix(docs, id_col, text_col, source_col, **settings)
-    key = ["_id", "_size", "_source", "_unnamed"]
-    taken = taken.where("copies > 0").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("size").alias("_size"), F.coalesce("source", F.lit("")).alias("_source"),
-        F.col("source").isNull().alias("_unnamed"), F.col("copies").alias("_copies"),
-    ).groupBy(*key).agg(F.max("_copies").alias("_copies"))
-    named = docs.select(
-        F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), word_count(F.col(text_col)).alias("_size"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.col(source_col).isNull().alias("_unnamed"),
-    )
-    return named.join(taken, key).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+    named = {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_nameless": F.col(id_col).isNull(), "_size": word_count(F.col(text_col)),
+             "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_unnamed": F.col(source_col).isNull()}
+    of_mix = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_nameless": F.col("doc_id").isNull(), "_size": F.col("size"),
+              "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_unnamed": F.col("source").isNull()}
+    taken = mix(docs, id_col, text_col, source_col, **settings).where("copies > 0")
+    taken = taken.select(*[c.alias(n) for n, c in of_mix.items()], "copies", "finish", (F.col("source_size") / F.col("target")).alias("_again")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in named.items()]).join(taken, list(named))
+    passes = rows.select("_row", "finish", "_again", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_pass"))
+    placed = passes.select("_row", (F.col("finish") + F.col("_pass") * F.col("_again")).alias("_finish"))
+    return placed.repartitionByRange("_finish").sortWithinPartitions("_finish").select("_row.*")
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:
