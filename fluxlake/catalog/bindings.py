@@ -2,7 +2,7 @@
 
 ``events`` is split over six channels by ``user_id``: target flux, three field components, speed and
 density. Records of one kind on the target channel act as the independent instrument. Every record is
-used. The grid gets finer as the table grows, so that bins stay mostly filled.
+used. Grid step and sequence length are the same for tables of any size.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ ORDERS = (
     "o_orderpriority string"
 )
 NOW = datetime(2024, 2, 1)
-# Records below the first number, seconds per grid step, rows per input sequence.
-LADDER = [(3_000, 21_600, 12), (30_000, 3_600, 24), (300_000, 300, 288), (3_000_000, 30, 288), (30_000_000, 3, 288)]
-FINEST = (1, 288)
-FINE_PARTS = 6
+# Grid step, a step short enough for many empty bins and long gaps, and rows per input sequence (a day).
+CADENCE = timedelta(hours=2)
+FINE_CADENCE = timedelta(minutes=20)
+SEQUENCE_LENGTH = 12
 
 _kept: dict[tuple[str, str, str], object] = {}
 
@@ -59,40 +59,19 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(spark).read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
 
 
-def _step(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    def build():
-        count = events(spark, sf_dir).count()
-        return next(((seconds, length) for below, seconds, length in LADDER if count < below), FINEST)
-
-    return keep(spark, sf_dir, "step", build)
-
-
-def cadence(spark: SparkSession, sf_dir: str) -> timedelta:
-    return timedelta(seconds=_step(spark, sf_dir)[0])
-
-
-def fine_cadence(spark: SparkSession, sf_dir: str) -> timedelta:
-    """A step short enough for many empty bins and long gaps."""
-    return timedelta(seconds=max(1, _step(spark, sf_dir)[0] // FINE_PARTS))
-
-
-def sequence_length(spark: SparkSession, sf_dir: str) -> int:
-    return _step(spark, sf_dir)[1]
-
-
-def delta_km(spark: SparkSession, sf_dir: str) -> float:
-    """Distance scaled with the grid step, so that delays stay near 14 rows."""
-    return schemas.DELTA_X_KM * (cadence(spark, sf_dir).total_seconds() / 60.0) / 5.0
+# Distance scaled with the grid step, so that delays stay near 14 rows.
+DELTA_KM = schemas.DELTA_X_KM * (CADENCE.total_seconds() / 60.0) / 5.0
 
 
 def _channel() -> Column:
-    return F.col("user_id") % 6
+    """Channel of a record; one without a user counts as user 0."""
+    return F.pmod(F.coalesce("user_id", F.lit(0)), F.lit(6))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All training records from one scan: tagged, with one value column set per record."""
     channel, value = _channel(), F.col("value")
-    part = F.when((channel == 0) & (F.col("event_type") != "signup"), "target").when(channel > 0, "driver")
+    part = F.when((channel == 0) & ~F.col("event_type").eqNullSafe("signup"), "target").when(channel > 0, "driver")
     rows = events(spark, sf_dir).select(
         "ts", part.alias("part"),
         F.when(channel == 0, drop_nonpositive(value)).alias(schemas.TARGET),
@@ -113,7 +92,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: stage(align_records(records(spark, sf_dir), schemas.GRID_COLUMNS, cadence(spark, sf_dir)), "grid")
+    build = lambda: stage(align_records(records(spark, sf_dir), schemas.GRID_COLUMNS, CADENCE), "grid")
     return keep(spark, sf_dir, "grid", build)
 
 
@@ -121,9 +100,8 @@ def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid at the short step, with row positions."""
 
     def build():
-        step = fine_cadence(spark, sf_dir)
-        rows = stage(align_records(records(spark, sf_dir), schemas.GRID_COLUMNS, step), "fine_grid")
-        return stage(with_row_index(rows, step), "fine_grid_indexed")
+        rows = stage(align_records(records(spark, sf_dir), schemas.GRID_COLUMNS, FINE_CADENCE), "fine_grid")
+        return with_row_index(rows, FINE_CADENCE)
 
     return keep(spark, sf_dir, "fine_grid", build)
 
@@ -131,11 +109,11 @@ def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid rows with a target, with row positions."""
     known = grid(spark, sf_dir).where(F.col(schemas.TARGET).isNotNull())
-    return with_row_index(known, cadence(spark, sf_dir))
+    return with_row_index(known, CADENCE)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(spark, sf_dir, "series", lambda: stage(clean_series(grid(spark, sf_dir), cadence(spark, sf_dir)), "series"))
+    return keep(spark, sf_dir, "series", lambda: stage(clean_series(grid(spark, sf_dir), CADENCE), "series"))
 
 
 def scaler(spark: SparkSession, sf_dir: str) -> list[ScalerParam]:
@@ -148,24 +126,24 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared series with row positions."""
-    return with_row_index(prepared(spark, sf_dir), cadence(spark, sf_dir))
+    return with_row_index(prepared(spark, sf_dir), CADENCE)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
-        table = feature_table(prepared(spark, sf_dir), cadence(spark, sf_dir), delta_km(spark, sf_dir))
+        table = feature_table(prepared(spark, sf_dir), CADENCE, DELTA_KM)
         return stage(table, "features")
 
     return keep(spark, sf_dir, "features", build)
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_row_index(features(spark, sf_dir), cadence(spark, sf_dir))
+    return with_row_index(features(spark, sf_dir), CADENCE)
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(
-        spark, sf_dir, "datasets", lambda: stage(horizon_datasets(features(spark, sf_dir), cadence(spark, sf_dir)), "datasets")
+        spark, sf_dir, "datasets", lambda: stage(horizon_datasets(features(spark, sf_dir), CADENCE), "datasets")
     )
 
 

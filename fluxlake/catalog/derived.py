@@ -99,7 +99,7 @@ def text_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def _zipped(group: pd.DataFrame) -> pd.DataFrame:
+def _zipped(group: pd.DataFrame, damaged: int = 0) -> pd.DataFrame:
     group = group.sort_values("event_id")
     name = group["archive"].iloc[0]
     document = (
@@ -110,12 +110,19 @@ def _zipped(group: pd.DataFrame) -> pd.DataFrame:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("FLUX.TXT", "# year doy hour minute second flux\n" + "\n".join(group["line"]) + "\n")
         archive.writestr("meta.xml", document)
-        archive.writestr("plot.PNG", b"\x89PNG")
-    return pd.DataFrame({"path": [f"/archives/{name}.zip"], "content": [packed.getvalue()]})
+        archive.writestr("plot.PNG", b"\x89PNG", zipfile.ZIP_STORED)
+    content = packed.getvalue()
+    if damaged and int(name[1:]) % damaged == 0:
+        # One byte of the last member's data, which its checksum then no longer fits.
+        content = content.replace(b"\x89PNG", b"\x89PNX")
+    return pd.DataFrame({"path": [f"/archives/{name}.zip"], "content": [content]})
 
 
-def archives(events: DataFrame) -> DataFrame:
-    """The events packed into ZIP files of a bounded number of consecutive records each."""
+def archives(events: DataFrame, damaged: int = 0) -> DataFrame:
+    """The events packed into ZIP files of a bounded number of consecutive records each.
+
+    With ``damaged``, every so manieth archive, from the first on, holds a member that fails its checksum.
+    """
     number = F.call_function("div", F.col("event_id"), F.lit(ARCHIVE_EVENTS))
     lines = events.select("event_id", F.concat(F.lit("a"), F.lpad(number.cast("string"), 9, "0")).alias("archive"), line_a().alias("line"))
-    return lines.groupBy("archive").applyInPandas(_zipped, "path string, content binary")
+    return lines.groupBy("archive").applyInPandas(lambda group: _zipped(group, damaged), "path string, content binary")

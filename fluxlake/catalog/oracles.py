@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from fluxlake import schemas as s
+from fluxlake.catalog.derived import ARCHIVE_EVENTS
 
 D = s.DRIVERS
 GRID = s.GRID_COLUMNS
@@ -30,11 +31,8 @@ def _rs(names) -> str:
 
 
 CTES["cfg"] = """
-SELECT cad, cad * 1000000 AS w, greatest(1, cad // 6) * 1000000 AS fw, len, 1.5e6 * (CAST(cad AS DOUBLE) / 60) / 5 AS dx
-FROM (SELECT CAST(CASE WHEN n < 3000 THEN 21600 WHEN n < 30000 THEN 3600 WHEN n < 300000 THEN 300
-                       WHEN n < 3000000 THEN 30 WHEN n < 30000000 THEN 3 ELSE 1 END AS BIGINT) AS cad,
-             CAST(CASE WHEN n < 3000 THEN 12 WHEN n < 30000 THEN 24 ELSE 288 END AS BIGINT) AS len
-      FROM (SELECT count(*) AS n FROM events))
+SELECT cad, cad * 1000000 AS w, 1200000000 AS fw, CAST(12 AS BIGINT) AS len, 1.5e6 * (CAST(cad AS DOUBLE) / 60) / 5 AS dx
+FROM (SELECT CAST(7200 AS BIGINT) AS cad)
 """
 CTES["rec"] = """
 SELECT epoch_us(ts) AS us, user_id % 6 = 0 AS is_target,
@@ -301,6 +299,13 @@ _FINAL = {
         SELECT 'events' AS archive, 'm' || (user_id % 3) || '.txt' AS member, event_id AS line_no,
                CASE WHEN user_id % 3 = 1 THEN 'B' ELSE 'A' END AS layout, ts, {_r('value', 'electron_flux')}
         FROM events WHERE event_id % 50 <> 0 AND (user_id % 3 < 2 OR event_id % 2 = 0)""",
+    "metadata_maps": f"""SELECT archive || '.zip' AS archive, CAST(6 AS BIGINT) AS n_fields, CAST(min(event_id) AS VARCHAR) AS first
+        FROM (SELECT event_id, 'a' || lpad(CAST(event_id // {ARCHIVE_EVENTS} AS VARCHAR), 9, '0') AS archive FROM events) GROUP BY archive""",
+    "archives_with_damage": f"SELECT ts, {_r('CASE WHEN value > 0 THEN value END', 'electron_flux')} FROM events WHERE event_id // {ARCHIVE_EVENTS} % 7 <> 0",
+    "skipped_archives": f"""SELECT DISTINCT 'a' || lpad(CAST(event_id // {ARCHIVE_EVENTS} AS VARCHAR), 9, '0') || '.zip' AS archive, 'BadZipFile' AS reason
+        FROM events WHERE event_id // {ARCHIVE_EVENTS} % 7 = 0""",
+    "rejected_lines": """SELECT 'events' AS archive, 'odd.txt' AS member, event_id AS line_no, 'value ' || event_id AS line
+        FROM events WHERE event_id % 3 = 1 AND event_id < (SELECT min(event_id) FROM events WHERE event_id % 3 = 1) + 5""",
     "optional_source": f"SELECT ts, {_r('electron_flux')} FROM truth",
     "csv_roundtrip": f"SELECT ts, {_rs(GRID)} FROM grid",
     "align_grid": f"SELECT ts, {_rs(GRID)} FROM grid",
@@ -377,9 +382,9 @@ _FINAL = {
     "null_runs": "SELECT first_idx, last_idx, run_length FROM runs",
     "row_index": "SELECT ts, i AS row_idx FROM tgt",
     "sequence_windows": f"""
-        SELECT d.horizon, d.split, d.ts, {_r('any_value(d.y)', 'y')}, count(*) AS length, CAST(3 AS BIGINT) AS width,
+        SELECT d.horizon, d.split, d.ts, {_r('any_value(d.y)', 'y')}, count(*) AS length, CAST({len(s.MODEL_INPUTS)} AS BIGINT) AS width,
                {_r('arg_min(CAST(p.log_electron_flux AS FLOAT), p.si)', 'oldest_flux')}, {_r('arg_max(CAST(p.log_electron_flux AS FLOAT), p.si)', 'newest_flux')},
-               {_r('sum(CAST(CAST(p.delta_flux AS FLOAT) AS DOUBLE))', 'sum_delta')}, {_r('sum(CAST(CAST(p.Bz_scaled_lag AS FLOAT) AS DOUBLE))', 'sum_bz')}
+               {', '.join(_r(f'sum(CAST(CAST(p.{c} AS FLOAT) AS DOUBLE))', f'sum_{c}') for c in s.MODEL_INPUTS)}
         FROM dst d CROSS JOIN cfg JOIN dst p ON p.horizon = d.horizon AND p.split = d.split AND p.si BETWEEN d.si - len + 1 AND d.si
         WHERE d.si >= len - 1 GROUP BY 1, 2, 3""",
     "chrono_split": f"SELECT horizon, ts, i AS row_idx, {_r('y')}, split, si AS split_idx FROM dst",

@@ -94,7 +94,35 @@ def scan_archive(spark, sf_dir):
 
 @query
 def xml_flatten(spark, sf_dir):
-    return archives.archive_metadata(archives.expand_archives(derived.archives(b.events(spark, sf_dir))))
+    return archives.archive_metadata(archives.expand_archives(derived.archives(b.events(spark, sf_dir)), ("xml",)))
+
+
+@query
+def metadata_maps(spark, sf_dir):
+    metadata = archives.archive_metadata(archives.expand_archives(derived.archives(b.events(spark, sf_dir)), ("xml",)))
+    maps = archives.metadata_maps(metadata)
+    return maps.select("archive", F.size("metadata").alias("n_fields"), F.col("metadata")["product/first"].alias("first"))
+
+
+@query
+def archives_with_damage(spark, sf_dir):
+    """Archives of which every seventh has a member with a wrong checksum: it goes whole."""
+    members = archives.expand_archives(derived.archives(b.events(spark, sf_dir), damaged=7), ("txt",))
+    return archives.combine_archives(archives.archive_flux(members))
+
+
+@query
+def skipped_archives(spark, sf_dir):
+    members = archives.expand_archives(derived.archives(b.events(spark, sf_dir), damaged=7), ())
+    return archives.skipped_archives(members).select("archive", F.substring_index("reason", ":", 1).alias("reason"))
+
+
+@query
+def rejected_lines(spark, sf_dir):
+    """Every file has data lines that fit; a fourth one of other words has none."""
+    lines = derived.text_lines(b.events(spark, sf_dir))
+    odd = lines.where(F.col("line_no") % 3 == 1).select("archive", F.lit("odd.txt").alias("member"), "line_no", F.concat(F.lit("value "), F.col("line_no").cast("string")).alias("line"))
+    return text_layouts.rejected_lines(stage(lines.unionByName(odd), "lines_with_rejects"))
 
 
 @query
@@ -148,7 +176,7 @@ def dataset_scan(spark, sf_dir):
 
 @query
 def metrics_json(spark, sf_dir):
-    weights, path = evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.sequence_length(spark, sf_dir)), fresh_path(spark, "weights")
+    weights, path = evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.SEQUENCE_LENGTH), fresh_path(spark, "weights")
     tables.write_json(weights, path)
     back = tables.read_json(spark, path, weights.schema)
     return back.select("horizon", "alpha", "val_rmse", "sequence_length", "test_ensemble.*")
@@ -212,13 +240,16 @@ def feature_table(spark, sf_dir):
 
 @query
 def align_grid(spark, sf_dir):
-    return b.grid(spark, sf_dir)
+    rows = b.records(spark, sf_dir)
+    target = (rows.where("part = 'target'"), [schemas.TARGET])
+    drivers = [(rows.where(F.col("part") == "driver"), schemas.DRIVERS)]
+    return resample.align_grid(target, drivers, b.CADENCE).select("ts", *schemas.GRID_COLUMNS)
 
 
 @query
 def dynamic_lag(spark, sf_dir):
-    minutes = b.cadence(spark, sf_dir).total_seconds() / 60.0
-    return gather.dynamic_lag(b.prepared_rows(spark, sf_dir), minutes, b.delta_km(spark, sf_dir))
+    minutes = b.CADENCE.total_seconds() / 60.0
+    return gather.dynamic_lag(b.prepared_rows(spark, sf_dir), minutes, b.DELTA_KM)
 
 
 @query
@@ -233,13 +264,13 @@ def log_transform(spark, sf_dir):
 
 @query
 def valid_time(spark, sf_dir):
-    rows = evaluate.to_valid_time(b.datasets(spark, sf_dir), b.cadence(spark, sf_dir))
+    rows = evaluate.to_valid_time(b.datasets(spark, sf_dir), b.CADENCE)
     return rows.select("horizon", "ts", "valid_ts")
 
 
 @query
 def align_predictions(spark, sf_dir):
-    rows, length = b.stand_ins(spark, sf_dir), b.sequence_length(spark, sf_dir)
+    rows, length = b.stand_ins(spark, sf_dir), b.SEQUENCE_LENGTH
     tree = rows.select("horizon", "split", "ts", "y", "tree_pred")
     sequence = rows.where(F.col("split_idx") >= length - 1).select("horizon", "split", "ts", "sequence_pred")
     return scoring.align_predictions(tree, sequence)
@@ -251,12 +282,13 @@ def align_predictions(spark, sf_dir):
 @query
 def merge_signals(spark, sf_dir):
     drivers = b.records(spark, sf_dir).where("part = 'driver'")
-    return resample.resample_mean(drivers, schemas.DRIVERS, b.cadence(spark, sf_dir))
+    field, plasma = schemas.DRIVERS[:3], schemas.DRIVERS[3:]
+    return resample.merge_signals([(drivers, field), (drivers, plasma)], b.CADENCE)
 
 
 @query
 def asof_nearest(spark, sf_dir):
-    step = b.cadence(spark, sf_dir)
+    step = b.CADENCE
     measured = b.truth(spark, sf_dir).withColumnRenamed("electron_flux", "truth")
     return asof.asof_nearest(b.features(spark, sf_dir).select("ts", schemas.LOG_TARGET), measured, ["truth"], step / 2)
 
@@ -275,7 +307,7 @@ def horizon_lookup(spark, sf_dir):
 
 @query
 def resample_mean(spark, sf_dir):
-    return resample.resample_mean(b.events(spark, sf_dir), ["value"], b.fine_cadence(spark, sf_dir))
+    return resample.resample_mean(b.events(spark, sf_dir), ["value"], b.FINE_CADENCE)
 
 
 @query
@@ -321,7 +353,7 @@ def best_alpha(spark, sf_dir):
 def step_counts(spark, sf_dir):
     seen = Observation("clean_series")
     grid_rows = b.grid(spark, sf_dir)
-    cleaned = stage(clean_series(grid_rows, b.cadence(spark, sf_dir), observation=seen), "observed_series")
+    cleaned = stage(clean_series(grid_rows, b.CADENCE, observation=seen), "observed_series")
     got, total, kept = seen.get, grid_rows.count(), cleaned.count()
     steps = [
         ("missing_target", total, total - got["rows"], 0),
@@ -334,8 +366,8 @@ def step_counts(spark, sf_dir):
 
 @query
 def lag_step_stats(spark, sf_dir):
-    minutes = b.cadence(spark, sf_dir).total_seconds() / 60.0
-    return gather.lag_step_stats(b.series(spark, sf_dir), minutes, b.delta_km(spark, sf_dir))
+    minutes = b.CADENCE.total_seconds() / 60.0
+    return gather.lag_step_stats(b.series(spark, sf_dir), minutes, b.DELTA_KM)
 
 
 @query
@@ -378,8 +410,8 @@ def ema(spark, sf_dir):
 
 @query
 def delta_features(spark, sf_dir):
-    minutes = b.cadence(spark, sf_dir).total_seconds() / 60.0
-    lagged = gather.dynamic_lag(b.prepared_rows(spark, sf_dir), minutes, b.delta_km(spark, sf_dir))
+    minutes = b.CADENCE.total_seconds() / 60.0
+    lagged = gather.dynamic_lag(b.prepared_rows(spark, sf_dir), minutes, b.DELTA_KM)
     return windows.delta_features(lagged, DELTAS).select("ts", *schemas.DELTA_COLUMNS)
 
 
@@ -401,14 +433,15 @@ def row_index(spark, sf_dir):
 
 @query
 def sequence_windows(spark, sf_dir):
-    inputs = [schemas.LOG_TARGET, "delta_flux", "Bz_scaled_lag"]
-    rows = horizons.sequence_windows(b.datasets(spark, sf_dir), b.sequence_length(spark, sf_dir), inputs)
+    inputs = list(schemas.MODEL_INPUTS)
+    rows = horizons.sequence_windows(b.datasets(spark, sf_dir), b.SEQUENCE_LENGTH, inputs)
+    flux = inputs.index(schemas.LOG_TARGET)
     cell = lambda i, j: F.col("sequence")[i][j].cast("double")
     total = lambda j: F.aggregate(F.col("sequence"), F.lit(0.0), lambda t, x: t + x[j].cast("double"))
     last = F.size("sequence") - 1
     return rows.select(
         "horizon", "split", "ts", "y", F.size("sequence").alias("length"), F.size(F.col("sequence")[0]).alias("width"),
-        cell(0, 0).alias("oldest_flux"), cell(last, 0).alias("newest_flux"), total(1).alias("sum_delta"), total(2).alias("sum_bz"),
+        cell(0, flux).alias("oldest_flux"), cell(last, flux).alias("newest_flux"), *[total(j).alias(f"sum_{c}") for j, c in enumerate(inputs)],
     )
 
 
@@ -419,7 +452,7 @@ def chrono_split(spark, sf_dir):
 
 @query
 def persistence(spark, sf_dir):
-    rows = evaluate.to_valid_time(b.stand_ins(spark, sf_dir), b.cadence(spark, sf_dir))
+    rows = evaluate.to_valid_time(b.stand_ins(spark, sf_dir), b.CADENCE)
     return rows.select("horizon", "valid_ts", "persistence_pred")
 
 
@@ -440,7 +473,7 @@ def latest_conditions(spark, sf_dir):
 
 @query
 def latest_window(spark, sf_dir):
-    return report.latest_rows(b.features(spark, sf_dir).select("ts", *schemas.MODEL_INPUTS), b.sequence_length(spark, sf_dir))
+    return report.latest_rows(b.features(spark, sf_dir).select("ts", *schemas.MODEL_INPUTS), b.SEQUENCE_LENGTH)
 
 
 @query
@@ -469,7 +502,7 @@ def lag_steps(spark, sf_dir):
 
 @query
 def scalar_time(spark, sf_dir):
-    step = b.cadence(spark, sf_dir)
+    step = b.CADENCE
     start = bin_start(bin_number("ts", step), step)
     return b.events(spark, sf_dir).select(
         "event_id", start.alias("bin_ts"), shift_time("ts", step, 9).alias("later_ts"),
@@ -488,7 +521,7 @@ def vector_norm(spark, sf_dir):
 
 @query
 def confidence_label(spark, sf_dir):
-    return report.with_confidence(evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.sequence_length(spark, sf_dir)))
+    return report.with_confidence(evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.SEQUENCE_LENGTH))
 
 
 # ---- forecasts -----------------------------------------------------------------------------------------
@@ -505,7 +538,7 @@ def _trees(spark, sf_dir) -> dict[str, learners.Fitted]:
 
 def _window_models(spark, sf_dir) -> dict[str, learners.Fitted]:
     def build():
-        rows, length = b.datasets(spark, sf_dir), b.sequence_length(spark, sf_dir)
+        rows, length = b.datasets(spark, sf_dir), b.SEQUENCE_LENGTH
         return {h: learners.train_windows(rows.where(F.col("horizon") == h), length) for h in sorted(_trees(spark, sf_dir))}
 
     return b.keep(spark, sf_dir, "window_models", build)
@@ -526,7 +559,7 @@ def _predictions(spark, sf_dir) -> DataFrame:
 
 
 def _weights(spark, sf_dir) -> DataFrame:
-    build = lambda: stage(evaluate.ensemble_weights(_predictions(spark, sf_dir), b.sequence_length(spark, sf_dir)), "weights")
+    build = lambda: stage(evaluate.ensemble_weights(_predictions(spark, sf_dir), b.SEQUENCE_LENGTH), "weights")
     return b.keep(spark, sf_dir, "weights", build)
 
 
@@ -577,13 +610,13 @@ def model_comparison(spark, sf_dir):
 def full_history_predictions(spark, sf_dir):
     alphas = evaluate.collect_alphas(_weights(spark, sf_dir))
     return evaluate.full_history(
-        b.feature_rows(spark, sf_dir), _trees(spark, sf_dir), _window_models(spark, sf_dir), alphas, b.cadence(spark, sf_dir)
+        b.feature_rows(spark, sf_dir), _trees(spark, sf_dir), _window_models(spark, sf_dir), alphas, b.CADENCE
     )
 
 
 @query
 def validate_truth(spark, sf_dir):
-    step = b.cadence(spark, sf_dir)
+    step = b.CADENCE
     rows = evaluate.to_valid_time(b.stand_ins(spark, sf_dir), step)
     rows = scoring.blend_by_horizon(rows, {"A": 0.2, "B": 0.5, "C": 0.8}, "tree_pred", "sequence_pred", "model_pred")
     scores = evaluate.validate(rows.select("valid_ts", "horizon", "model_pred", "persistence_pred"), b.truth(spark, sf_dir), step / 2)
@@ -596,7 +629,7 @@ def latest_forecast(spark, sf_dir):
     weights = _weights(spark, sf_dir)
     return report.latest_forecast(
         b.feature_rows(spark, sf_dir), _trees(spark, sf_dir), _window_models(spark, sf_dir), weights,
-        evaluate.collect_alphas(weights), b.sequence_length(spark, sf_dir), b.cadence(spark, sf_dir),
+        evaluate.collect_alphas(weights), b.SEQUENCE_LENGTH, b.CADENCE,
     )
 
 
@@ -605,12 +638,12 @@ def latest_forecast(spark, sf_dir):
 
 @query
 def history_series(spark, sf_dir):
-    return report.history_series(b.features(spark, sf_dir), b.cadence(spark, sf_dir) * 4)
+    return report.history_series(b.features(spark, sf_dir), b.CADENCE * 4)
 
 
 @query
 def metric_report(spark, sf_dir):
-    return report.metric_report(evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.sequence_length(spark, sf_dir)))
+    return report.metric_report(evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), b.SEQUENCE_LENGTH))
 
 
 # ---- the same operators on many series at once -----------------------------------------------------------

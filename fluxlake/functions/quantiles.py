@@ -1,9 +1,9 @@
-"""Exact quantiles that no single task has to hold.
+"""Exact quantiles that no single task has to hold, in two scans.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is the fast path here, taken
-only after the largest group has been counted. Beyond it, the wanted order statistics are found by
-narrowing a histogram: each round counts the rows per bin between the current bounds (pre-aggregated
-before the shuffle, so a hot group costs nothing extra) and keeps the one bin the rank falls into.
+The first scan counts each group and brackets every wanted order statistic by approximate percentiles a little
+below and above it. The second counts the rows below each bracket and tallies the values inside, both combined before
+the shuffle; a running sum over a bracket's tally then gives the exact values. A bracket that misses its rank, which the
+approximation's error bound rules out, is widened until it holds it.
 """
 
 from __future__ import annotations
@@ -14,72 +14,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxlake.operators.keyed import attach
 from fluxlake.session import stage
 
-BINS = 4096
-SMALL_GROUP = 100_000
-BROADCAST_ROWS = 100_000
+# Relative rank error of the approximate percentiles is at most 1 / ACCURACY; brackets reach MARGIN times that.
+ACCURACY = 10_000
+MARGIN = 3.0
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    keys: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
-    """``(keys.., name, q_0, q_1, ..)``: linearly interpolated quantiles of the non-null values."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., name, q_0, q_1, ..)``: linearly interpolated quantiles of the values.
+
+    NULL and NaN are left out. Infinities are values like others: a quantile between a finite and an infinite
+    value is infinite, one between opposite infinities is NULL. Groups without values give no row.
+    """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     )
-    values = df.select(*keys, pairs.alias("pair")).select(*keys, "pair.name", "pair.value").where("value IS NOT NULL")
-    group = [*keys, "name"]
-    sizes = stage(
-        values.groupBy(*group).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
-        "group_sizes",
-    )
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None or largest <= small_group:
-        answers = values.groupBy(*group).agg(
-            F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")
-        )
-        return answers.select(*group, *[F.col("q")[i].alias(f"q_{i}") for i in range(len(probabilities))])
-    return _by_narrowing(values, sizes, probabilities, group)
+    values = df.select(*keys, pairs.alias("pair")).select(*keys, "pair.name", F.nanvl("pair.value", F.lit(None).cast("double")).alias("value"))
+    values = values.where("value IS NOT NULL")
+    group, margin = [*keys, "name"], MARGIN / ACCURACY
+    while True:
+        answers, missed = _bracketed(values, group, probabilities, margin)
+        if not missed:
+            return answers
+        margin *= 8
 
 
-def _by_narrowing(values: DataFrame, sizes: DataFrame, probabilities: Sequence[float], group: list[str]) -> DataFrame:
-    position = [(F.col("n") - 1) * F.lit(float(p)) for p in probabilities]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in position])))
-    targets = stage(
-        sizes.select(*group, "lo", "hi", F.explode(ranks).alias("rank"), F.lit(0).cast("bigint").alias("below")),
-        "rank_targets",
+def _bracketed(values: DataFrame, group: list[str], probabilities: Sequence[float], margin: float) -> tuple[DataFrame, bool]:
+    ends = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probabilities]
+    percents = F.array(*[F.lit(float(e)) for pair in ends for e in pair])
+    sizes = stage(
+        values.groupBy(*group).agg(F.count("*").alias("n"), F.percentile_approx("value", percents, ACCURACY).alias("at")), "quantile_brackets"
     )
-    slot = [*group, "rank"]
-    while True:
-        open_slots = targets.agg(F.count("*").alias("n"), F.count_if(F.col("lo") < F.col("hi")).alias("open")).first()
-        if not open_slots["open"]:
-            break
-        wanted = targets.where("lo < hi").select(*slot, "lo", "hi", "below")
-        if open_slots["n"] <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        # Halved operands keep the span finite for values near the ends of the double range.
-        share = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        inside = values.join(wanted, group).where("value BETWEEN lo AND hi")
-        bins = inside.groupBy(*slot, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(
-            F.count("*").alias("c"), F.first("below").alias("below"),
-            F.min("value").alias("lo"), F.max("value").alias("hi"),
-        )
-        upto = F.sum("c").over(W.partitionBy(*slot).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-        narrowed = (
-            bins.withColumn("upto", F.col("below") + upto)
-            .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-            .select(*group, "lo", "hi", "rank", (F.col("upto") - F.col("c")).alias("below"))
-        )
-        targets = stage(targets.where("lo = hi").unionByName(narrowed), "rank_targets")
-    found = targets.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
-    joined = found.join(sizes.select(*group, "n"), group)
-    quantiles = []
-    for i, p in enumerate(position):
-        low, high = F.col("at")[F.floor(p)], F.col("at")[F.ceil(p)]
-        quantiles.append((low + (high - low) * (p - F.floor(p))).alias(f"q_{i}"))
-    return joined.select(*group, *quantiles)
+    slots = []
+    for i in range(len(probabilities)):
+        low, high = F.col("at")[2 * i], F.col("at")[2 * i + 1]
+        inside = F.when(F.col("value") >= low, F.col("value"))
+        slots.append(F.when(F.col("value") <= high, F.struct(F.lit(i).alias("slot"), inside.alias("inside"))))
+    near = attach(values, sizes.select(*group, "at"), group).select(*group, F.explode(F.array_compact(F.array(*slots))).alias("s")).select(*group, "s.*")
+    # Rows below a bracket have no ``inside`` and come first; the rest are its distinct values in order.
+    tally = near.groupBy(*group, "slot", "inside").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*group, "slot").orderBy(F.col("inside").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    position = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("slot") + 1) * (F.col("n") - 1)
+    placed = attach(tally.withColumn("upto", upto), sizes.select(*group, "n"), group).withColumn("position", position)
+    value_at = lambda rank: F.min_by("inside", F.when(F.col("upto") > rank(F.col("position")), F.col("upto")))
+    found = stage(
+        placed.groupBy(*group, "slot").agg(value_at(F.floor).alias("low"), value_at(F.ceil).alias("high"), F.first("position").alias("position")),
+        "quantile_ends",
+    )
+    # A rank below the bracket gives the NULL of the rows below it, one above gives none.
+    missed = not found.where("low IS NULL OR high IS NULL").isEmpty()
+    part = F.col("position") - F.floor("position")
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).when(part == 0, F.col("low")).otherwise(
+        F.nanvl(F.col("low") + (F.col("high") - F.col("low")) * part, F.lit(None).cast("double"))
+    )
+    wide = found.withColumn("q", between).groupBy(*group).agg(*[F.max(F.when(F.col("slot") == i, F.col("q"))).alias(f"q_{i}") for i in range(len(probabilities))])
+    return wide, missed

@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import micros_of, to_micros, whole_div
+from fluxlake.operators.keyed import attach_salted
 from fluxlake.session import settle
 
 CELLS_PER_TOLERANCE = 64
+# Slices of the left rows of a stamp; matches, one per stamp, are repeated as often.
+HOT_STAMP_SLICES = 4
 
 
 def asof_nearest(
@@ -84,4 +87,5 @@ def asof_nearest(
     matches = best.where(F.abs(F.col("best.us") - F.col("us")) <= F.lit(micros_of(tolerance))).select(
         *keys, F.col("us").alias("_us"), F.col("best.t").alias(matched_ts), *[F.col(f"best.v.{c}").alias(c) for c in values]
     )
-    return left.withColumn("_us", to_micros(left_ts)).join(matches, [*keys, "_us"]).drop("_us")
+    # Many left rows may share one stamp, so they are dealt to slices; unmatched rows go with the inner join.
+    return attach_salted(left.withColumn("_us", to_micros(left_ts)), matches, [*keys, "_us"], HOT_STAMP_SLICES).drop("_us")

@@ -12,7 +12,8 @@ from fluxlake import schemas
 from fluxlake.functions.guards import drop_fill, drop_nonpositive
 from fluxlake.functions.quantiles import exact_quantiles
 from fluxlake.functions.times import DAY_US, to_micros
-from fluxlake.session import settle
+from fluxlake.operators.keyed import attach
+from fluxlake.session import settle, stage
 
 
 def clean_flux(df: DataFrame, column: str = "electron_flux") -> DataFrame:
@@ -28,7 +29,7 @@ def clean_plasma(df: DataFrame, columns: Sequence[str] = tuple(schemas.PLASMA_CO
 
 
 def drop_corrupt_stamps(
-    df: DataFrame, now: datetime, file: str = "source_file", ts: str = "ts", small_group: int | None = None
+    df: DataFrame, now: datetime, file: str = "source_file", ts: str = "ts",
 ) -> DataFrame:
     """Drop records whose stamp is out of bounds or far from the median stamp of their own file.
 
@@ -41,8 +42,7 @@ def drop_corrupt_stamps(
     latest = to_micros(F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")) + F.lit(DAY_US)
     in_bounds = us.between(earliest, latest)
     stamps = df.select(file, us.cast("double").alias("any_us"), F.when(in_bounds, us.cast("double")).alias("good_us"))
-    options = {} if small_group is None else {"small_group": small_group}
-    medians = exact_quantiles(stamps, ["any_us", "good_us"], [0.5], [file], **options)
+    medians = exact_quantiles(stamps, ["any_us", "good_us"], [0.5], [file])
     center = medians.groupBy(file).agg(
         F.coalesce(
             F.max(F.when(F.col("name") == "good_us", F.col("q_0"))),
@@ -51,7 +51,7 @@ def drop_corrupt_stamps(
     )
     reach = F.lit(float(schemas.MAX_DAYS_FROM_MEDIAN * DAY_US))
     return (
-        df.join(center, file)
+        attach(df, stage(center, "file_medians"), [file])
         .where(in_bounds & (F.abs(us - F.col("_median_us")) <= reach))
         .select(*df.columns)
     )

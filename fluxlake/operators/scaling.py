@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlake import schemas
-from fluxlake.functions.quantiles import SMALL_GROUP, exact_quantiles
+from fluxlake.functions.quantiles import exact_quantiles
+from fluxlake.operators.keyed import attach
 
 PARAM_SCHEMA = "name string, center double, scale double"
 _CONSTANT = 10 * sys.float_info.epsilon
@@ -23,9 +24,9 @@ class ScalerParam:
     scale: float
 
 
-def robust_params(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), small_group: int = SMALL_GROUP) -> DataFrame:
+def robust_params(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``(keys.., name, center, scale)``; a constant column is scaled by 1."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], keys, small_group)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], keys)
     spread = F.col("q_2") - F.col("q_0")
     return quartiles.select(
         *keys, "name", F.col("q_1").alias("center"), F.when(spread < _CONSTANT, F.lit(1.0)).otherwise(spread).alias("scale")
@@ -37,8 +38,8 @@ def collect_params(params: DataFrame) -> list[ScalerParam]:
     return [ScalerParam(r["name"], r["center"], r["scale"]) for r in params.select("name", "center", "scale").collect()]
 
 
-def fit_robust_scaler(df: DataFrame, columns: Sequence[str] = tuple(schemas.DRIVERS), small_group: int = SMALL_GROUP) -> list[ScalerParam]:
-    return collect_params(robust_params(df, columns, (), small_group))
+def fit_robust_scaler(df: DataFrame, columns: Sequence[str] = tuple(schemas.DRIVERS)) -> list[ScalerParam]:
+    return collect_params(robust_params(df, columns))
 
 
 def apply_scaler(df: DataFrame, params: Sequence[ScalerParam], suffix: str = "_scaled") -> DataFrame:
@@ -50,7 +51,7 @@ def apply_keyed_scaler(df: DataFrame, params: DataFrame, columns: Sequence[str],
     pivots = [F.max(F.when(F.col("name") == c, F.col(part))).alias(f"_{part}_{c}") for c in columns for part in ("center", "scale")]
     wide = params.groupBy(*keys).agg(*pivots)
     scaled = {f"{c}{suffix}": (F.col(c) - F.col(f"_center_{c}")) / F.col(f"_scale_{c}") for c in columns}
-    joined = df.join(wide, list(keys)).withColumns(scaled)
+    joined = attach(df, wide, keys).withColumns(scaled)
     return joined.drop(*[f"_{part}_{c}" for c in columns for part in ("center", "scale")])
 
 

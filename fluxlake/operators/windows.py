@@ -6,9 +6,9 @@ stack several behind one shuffle, and as a stand-alone DataFrame operator. Frame
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from fluxlake import schemas
 from fluxlake.functions.times import whole_div
 from fluxlake.operators.position import BUCKET_BINS, CHUNK_ROWS, over_chunks
+from fluxlake.session import stage
 
 EMA_BLOCK = 512
-EMA_NEGLIGIBLE = 1e-30
 
 
 # ---- centred median and spikes -------------------------------------------------------------------
@@ -215,57 +215,72 @@ def ema_decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def ema_reach(spans: Sequence[int]) -> int:
-    """Rows, in whole blocks, after which a past value weighs less than ``EMA_NEGLIGIBLE``."""
-    rows = max(math.ceil(math.log(EMA_NEGLIGIBLE) / math.log(ema_decay(s))) if s > 1 else 1 for s in spans)
-    return math.ceil(rows / EMA_BLOCK) * EMA_BLOCK
+def _folded(ends: str, decay: float) -> Column:
+    return F.aggregate(F.col(ends), F.lit(0.0), lambda value, end: value * F.lit(decay) + end)
 
 
-def ema_chunk_rows(spans: Sequence[int]) -> int:
-    """Chunks at least as long as their halo, so that copying at most doubles the rows."""
-    return max(CHUNK_ROWS, ema_reach(spans))
+def _starts(ends: DataFrame, spans: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """``(keys.., _block, _start_<span>..)``: the average that each block starts from, given what each adds by its end.
 
-
-def _folded(ends: str, decay: Column) -> Column:
-    return F.aggregate(F.col(ends), F.lit(0.0), lambda value, end: value * decay + end)
-
-
-def add_ema(
-    rows: DataFrame, window: WindowSpec, column: str, spans: Sequence[int] = schemas.ROLLING_WINDOWS,
-    prefix: str = "log_flux", keys: Sequence[str] = (), idx: str = "row_idx",
-) -> DataFrame:
-    """The recursion ``e = a*x + (1-a)*e_before`` seeded with the first value, as running sums.
-
-    Within a block of 512 rows the recursion is a weighted running sum; the value it starts from is
-    folded from the end values of the blocks before it in the same chunk. ``column`` must have no NULL.
+    Blocks are folded over groups of ``EMA_BLOCK`` blocks in parallel, then the groups of a key one after another: one
+    row per 262,144 rows of the series is what a task sees of a whole key.
     """
-    block, place = whole_div(F.col(idx), EMA_BLOCK), F.pmod(F.col(idx), F.lit(EMA_BLOCK))
-    rows = rows.withColumns({"_block": block, "_place": place})
-    in_block = W.partitionBy(*keys, "_chunk", "_block").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
-    earlier = window.rowsBetween(W.unboundedPreceding, -1)
-    local, ends, result = {}, {}, {}
-    for span in spans:
-        if span == 1:
-            result[f"{prefix}_ema_{span}"] = F.col(column).cast("double")
-            continue
-        d = F.lit(ema_decay(span))
-        weight = F.when(F.col(idx) == 0, F.lit(1.0)).otherwise(F.lit(2.0 / (span + 1.0)))
-        local[f"_local_{span}"] = F.pow(d, F.col("_place")) * F.sum(
-            weight * F.col(column) * F.pow(d, -F.col("_place"))
-        ).over(in_block)
-        ends[f"_ends_{span}"] = F.collect_list(F.when(F.col("_place") == EMA_BLOCK - 1, F.col(f"_local_{span}"))).over(earlier)
-        whole_block = F.lit(ema_decay(span) ** EMA_BLOCK)
-        carry = _folded(f"_ends_{span}", whole_block)
-        result[f"{prefix}_ema_{span}"] = F.col(f"_local_{span}") + F.pow(d, F.col("_place") + 1) * carry
-    names = ["_block", "_place", *local, *ends]
-    return rows.withColumns(local).withColumns(ends).withColumns(result).drop(*names)
+    ends = ends.withColumn("_group", whole_div(F.col("_block"), EMA_BLOCK))
+    place = F.pmod(F.col("_block"), F.lit(EMA_BLOCK))
+    in_group = W.partitionBy(*keys, "_group").orderBy("_block")
+    before = in_group.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumns({f"_before_{s}": F.collect_list(f"_end_{s}").over(before) for s in spans})
+    whole = {s: ema_decay(s) ** EMA_BLOCK for s in spans}
+    ends = ends.withColumns({f"_inner_{s}": _folded(f"_before_{s}", whole[s]) for s in spans})
+    last = F.max("_block").over(W.partitionBy(*keys, "_group"))
+    groups = ends.withColumn("_last", last).where("_block = _last").select(
+        *keys, "_group", *[(F.col(f"_inner_{s}") * F.lit(whole[s]) + F.col(f"_end_{s}")).alias(f"_sum_{s}") for s in spans]
+    )
+
+    def carry(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_group", ignore_index=True)
+        for s in spans:
+            decay, value, out = whole[s] ** EMA_BLOCK, 0.0, []
+            for total in frame[f"_sum_{s}"]:
+                out.append(value)
+                value = value * decay + total
+            frame[f"_outer_{s}"] = out
+        return frame.drop(columns=["_all", *[f"_sum_{s}" for s in spans]])
+
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in groups.schema if f.name in keys]
+    schema = ", ".join([*names, "_group bigint", *[f"_outer_{s} double" for s in spans]])
+    outer = groups.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInPandas(carry, schema)
+    joined = ends.join(outer, [*keys, "_group"])
+    return joined.select(
+        *keys, "_block", *[(F.col(f"_inner_{s}") + F.pow(F.lit(whole[s]), place) * F.col(f"_outer_{s}")).alias(f"_start_{s}") for s in spans]
+    )
 
 
 def ema_features(
     df: DataFrame, column: str, spans: Sequence[int] = schemas.ROLLING_WINDOWS, prefix: str = "log_flux",
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = (), idx: str = "row_idx",
 ) -> DataFrame:
-    return over_chunks(
-        df, lambda rows, w: add_ema(rows, w, column, spans, prefix, keys), ema_reach(spans), 0, keys,
-        chunk_rows=ema_chunk_rows(spans),
-    )
+    """The recursion ``e = a*x + (1-a)*e_before`` seeded with the first value, over the whole history of a row.
+
+    Within a block of 512 rows the recursion is a weighted running sum; the value that a block starts from is folded
+    exactly from the ends of all blocks before it. ``column`` must have no NULL, and positions no gap. ``df`` is staged
+    once with the running sums, as the block ends and the result both read them.
+    """
+    inner = [s for s in spans if s > 1]
+    result = {f"{prefix}_ema_{s}": F.col(column).cast("double") for s in spans if s == 1}
+    if not inner:
+        return df.withColumns(result)
+    rows = df.withColumns({"_block": whole_div(F.col(idx), EMA_BLOCK), "_place": F.pmod(F.col(idx), F.lit(EMA_BLOCK))})
+    window = W.partitionBy(*keys, "_block").orderBy(idx)
+    upto = window.rowsBetween(W.unboundedPreceding, 0)
+    local = {}
+    for s in inner:
+        d, weight = F.lit(ema_decay(s)), F.when(F.col(idx) == 0, F.lit(1.0)).otherwise(F.lit(2.0 / (s + 1.0)))
+        local[f"_local_{s}"] = F.pow(d, F.col("_place")) * F.sum(weight * F.col(column) * F.pow(d, -F.col("_place"))).over(upto)
+    rows = stage(rows.withColumns(local), "ema_blocks")
+    ends = rows.groupBy(*keys, "_block").agg(*[F.max_by(f"_local_{s}", "_place").alias(f"_end_{s}") for s in inner])
+    starts = _starts(ends, inner, keys)
+    for s in inner:
+        result[f"{prefix}_ema_{s}"] = F.col(f"_local_{s}") + F.pow(F.lit(ema_decay(s)), F.col("_place") + 1) * F.col(f"_start_{s}")
+    names = ["_block", "_place", *local, *[f"_start_{s}" for s in inner]]
+    return rows.join(starts, [*keys, "_block"]).withColumns(result).drop(*names)

@@ -14,6 +14,7 @@ from fluxlake.functions.times import shift_time
 from fluxlake.operators.asof import asof_nearest
 from fluxlake.operators.learners import Fitted, predict_trees, predict_windows
 from fluxlake.operators.scoring import best_alpha, blend_by_horizon, metric_struct, skill
+from fluxlake.session import stage
 
 MODELS = {"ensemble": "ensemble", "tree_only": "tree_pred", "sequence_only": "sequence_pred"}
 
@@ -29,8 +30,8 @@ def ensemble_weights(predictions: DataFrame, length: int) -> DataFrame:
     ``predictions`` holds ``horizon, split, y, tree_pred, sequence_pred``.
     """
     weights = best_alpha(predictions.where("split = 'val'"), "y", "tree_pred", "sequence_pred", ["horizon"])
-    test = predictions.where("split = 'test'").join(weights.select("horizon", "alpha"), "horizon")
-    test = test.withColumn("ensemble", F.col("alpha") * F.col("sequence_pred") + (1 - F.col("alpha")) * F.col("tree_pred"))
+    weights = stage(weights, "blend_weights")
+    test = blend_by_horizon(predictions.where("split = 'test'"), collect_alphas(weights), "tree_pred", "sequence_pred")
     scores = test.groupBy("horizon").agg(*[metric_struct("y", c).alias(f"test_{m}") for m, c in MODELS.items()])
     return weights.join(scores, "horizon", "left").select(
         "horizon", "alpha", "val_rmse", F.lit(length).cast("bigint").alias("sequence_length"), *[f"test_{m}" for m in MODELS]

@@ -7,8 +7,11 @@ batches; layouts, duplicates and bad values are then handled by ordinary column
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fluxlake import schemas
 from fluxlake.operators.clean import clean_flux, dedup_keep_first
+from fluxlake.sources.folders import open_folder
 from fluxlake.sources.text_layouts import parse_text
 
 BATCH_ROWS = 50_000
@@ -45,28 +49,44 @@ def xml_fields(document: bytes) -> list[tuple[str, str]]:
     return fields
 
 
-def _member_lines(archive: str, content: bytes) -> Iterator[tuple]:
-    try:
-        opened = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        return
-    with opened as archive_file:
+# What reading a damaged, encrypted or oddly packed member can raise.
+_DAMAGE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, NotImplementedError, RuntimeError, struct.error)
+SKIPPED = "skipped"
+
+
+def _read_members(content: bytes, kinds: tuple[str, ...]) -> list[tuple[int, str, str, bytes]]:
+    """``(number, name, kind, bytes)`` of the text and XML members, after every member was read in full once."""
+    members = []
+    with zipfile.ZipFile(io.BytesIO(content)) as archive_file:
         for number, name in enumerate(archive_file.namelist()):
             kind = name.lower().rpartition(".")[2]
-            if kind == "txt":
-                with archive_file.open(name) as member:
-                    for line_no, line in enumerate(io.TextIOWrapper(member, "utf-8", errors="replace", newline="\n")):
-                        yield archive, name, number, "txt", line_no, None, line.rstrip("\r\n")
-            elif kind == "xml":
-                for field_no, (path, value) in enumerate(xml_fields(archive_file.read(name))):
-                    yield archive, name, number, "xml", field_no, path, value
+            data = archive_file.read(name)
+            if kind in kinds:
+                members.append((number, name, kind, data))
+    return members
+
+
+def _member_lines(archive: str, content: bytes, kinds: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of an archive; if any member is damaged, one row of kind ``skipped`` with the reason, and no other."""
+    try:
+        members = _read_members(content, kinds)
+    except _DAMAGE as error:
+        yield archive, None, 0, SKIPPED, 0, None, f"{type(error).__name__}: {error}"
+        return
+    for number, name, kind, data in members:
+        if kind == "txt":
+            for line_no, line in enumerate(io.TextIOWrapper(io.BytesIO(data), "utf-8", errors="replace", newline="\n")):
+                yield archive, name, number, "txt", line_no, None, line.rstrip("\r\n")
+        else:
+            for field_no, (path, value) in enumerate(xml_fields(data)):
+                yield archive, name, number, "xml", field_no, path, value
 
 
-def _expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _expand(frames: Iterator[pd.DataFrame], kinds: tuple[str, ...]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):
-            for row in _member_lines(path.rpartition("/")[2], content):
+            for row in _member_lines(path.rpartition("/")[2], content, kinds):
                 rows.append(row)
                 if len(rows) >= BATCH_ROWS:
                     yield pd.DataFrame(rows, columns=_MEMBER_COLUMNS)
@@ -77,15 +97,24 @@ def _expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def list_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Archives of a folder as ``(path, content)``; an error if there are none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    files = open_folder(spark, path, pattern)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no archives matching {pattern!r} in {path}")
     return files.select("path", "content")
 
 
-def expand_archives(archives: DataFrame) -> DataFrame:
-    """Text lines, and XML fields as ``(path, line)``; images and other members are ignored."""
-    return archives.select("path", "content").mapInPandas(_expand, schemas.MEMBER_LINES)
+def expand_archives(archives: DataFrame, kinds: tuple[str, ...] = ("txt", "xml")) -> DataFrame:
+    """Text lines, and XML fields as ``(path, line)``; only members of the wanted ``kinds`` are sent on.
+
+    An archive with a damaged member is left out whole and gives one row of kind ``skipped``. All members of an archive
+    are read before the first line is given out, so one archive's contents are in memory at a time.
+    """
+    return archives.select("path", "content").mapInPandas(lambda frames: _expand(frames, kinds), schemas.MEMBER_LINES)
+
+
+def skipped_archives(members: DataFrame) -> DataFrame:
+    """``(archive, reason)`` of the archives that could not be read."""
+    return members.where(F.col("kind") == SKIPPED).select("archive", F.col("line").alias("reason"))
 
 
 def archive_flux(members: DataFrame) -> DataFrame:
@@ -119,7 +148,7 @@ def combine_archives(flux: DataFrame) -> DataFrame:
 
 def scan_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """A folder of archives as one signal ``(ts, electron_flux)``."""
-    combined = combine_archives(archive_flux(expand_archives(list_archives(spark, path, pattern))))
+    combined = combine_archives(archive_flux(expand_archives(list_archives(spark, path, pattern), ("txt",))))
     if combined.isEmpty():
         raise ValueError("no flux data in any archive")
     return combined

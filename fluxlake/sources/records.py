@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fluxlake import schemas
 from fluxlake.functions.guards import nan_to_null, require, vector_length
+from fluxlake.sources.folders import open_folder
 from fluxlake.operators.clean import clean_field, clean_flux, clean_plasma, dedup_keep_first
 
 SCHEMA_THREADS = 16
@@ -77,7 +78,7 @@ def scan_plasma(
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
     """Files of a folder that match ``pattern``, in name order; only their metadata is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+    files = open_folder(spark, path, pattern).select("path")
     names = sorted(row["path"] for row in files.toLocalIterator())
     if not names:
         raise FileNotFoundError(f"no files matching {pattern!r} in {path}")
@@ -93,11 +94,29 @@ def _read(spark: SparkSession, paths: Sequence[str], format: str, base: str | No
     return reader.format(format).load(list(paths))
 
 
-def _schema_of(spark: SparkSession, path: str, format: str) -> tuple[str, ...] | None:
+# Errors that say a file is not what its format wants; others (a time-out, denied access) are not passed over.
+_UNREADABLE = ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "Could not read footer", "not a Parquet file", "Malformed ORC")
+
+
+def _schema_of(spark: SparkSession, path: str, format: str) -> tuple[tuple[str, ...] | None, str]:
+    """Columns of a file, or None and the reason why it cannot be read."""
     try:
-        return tuple(f"{f.name}:{f.dataType.simpleString()}" for f in _read(spark, [path], format).schema)
-    except Exception:  # an unreadable file is skipped, as long as another one can be read
-        return None
+        found = tuple(f"{f.name}:{f.dataType.simpleString()}" for f in _read(spark, [path], format).schema)
+        return (found, "") if found else (None, "no columns")
+    except Exception as error:
+        reason = next((text for text in _UNREADABLE if text in str(error)), None)
+        if reason is None:
+            raise
+        return None, reason
+
+
+def skipped_files(spark: SparkSession, path: str, pattern: str = "*.parquet", format: str = "parquet") -> DataFrame:
+    """``(source_file, reason)`` of the files of a folder that ``read_directory`` passes over as unreadable."""
+    names = list_files(spark, path, pattern)
+    with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
+        found = list(pool.map(lambda p: _schema_of(spark, p, format), names))
+    rows = [(name, reason) for name, (schema, reason) in zip(names, found) if schema is None]
+    return spark.createDataFrame(rows, "source_file string, reason string")
 
 
 def schema_groups(spark: SparkSession, paths: Sequence[str], format: str) -> list[list[str]]:
@@ -105,7 +124,7 @@ def schema_groups(spark: SparkSession, paths: Sequence[str], format: str) -> lis
     with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
         found = list(pool.map(lambda p: _schema_of(spark, p, format), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, schema in zip(paths, found):
+    for path, (schema, _) in zip(paths, found):
         if schema:
             groups.setdefault(schema, []).append(path)
     if not groups:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import from_micros, to_micros
+from fluxlake.operators.keyed import attach
 from fluxlake.session import stage
 
 # ---- fixed values: white space, comment marks, whole and decimal numbers -----------------------
@@ -90,7 +91,7 @@ def parse_text(lines: DataFrame, file: Sequence[str] = ("archive", "member")) ->
     layouts = data.groupBy(*file).agg(F.bool_or(F.col("a").isNotNull()).alias("_has_a"))
     record = F.when(F.col("_has_a"), F.col("a")).otherwise(F.col("b"))
     return (
-        data.join(layouts, list(file))
+        attach(data, layouts, file)
         .where(record.isNotNull())
         .select(
             *file, *carried, "line_no", F.when(F.col("_has_a"), "A").otherwise("B").alias("layout"),
@@ -113,4 +114,4 @@ def rejected_lines(lines: DataFrame, file: Sequence[str] = ("archive", "member")
         .where("_has_data AND NOT _fits")
     )
     head = F.col("line_no").between(F.col("_first"), F.col("_first") + REJECT_LINES - 1)
-    return lines.join(failed, list(file)).where(head).select(*file, "line_no", "line")
+    return attach(lines, stage(failed, "failed_files"), file).where(head).select(*file, "line_no", "line")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxlake.functions.quantiles import exact_quantiles
 from fluxlake.operators import resample, scoring, windows
+from fluxlake.operators.keyed import attach, attach_salted
 from fluxlake.operators.asof import asof_nearest
 from fluxlake.operators.clean import dedup_keep_first
 from fluxlake.operators.position import over_chunks, with_row_index
@@ -79,6 +80,24 @@ def test_ema_equals_the_recursion_across_chunks(spark):
         np.testing.assert_allclose(got[f"x_ema_{span}"], x.ewm(span=span, adjust=False).mean(), rtol=1e-11)
 
 
+def test_ema_keeps_the_whole_history(spark):
+    x = np.ones(6000)
+    x[3071] = 1e45
+    df = spark.createDataFrame(pd.DataFrame({"row_idx": np.arange(6000), "x": x}))
+    got = windows.ema_features(df, "x", [24], "x").orderBy("row_idx").toPandas()
+    np.testing.assert_allclose(got["x_ema_24"], pd.Series(x).ewm(span=24, adjust=False).mean(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 300_000])
+def test_ema_per_key_over_block_ends(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    df = spark.range(n).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("k"), F.col("id").alias("row_idx"))
+    df = df.join(spark.createDataFrame(pd.DataFrame({"row_idx": np.arange(n), "x": x})), "row_idx")
+    got = windows.ema_features(df, "x", [3000], "x", ["k"]).toPandas().sort_values(["k", "row_idx"])
+    want = pd.Series(x).ewm(span=3000, adjust=False).mean()
+    np.testing.assert_allclose(got["x_ema_3000"], np.concatenate([want, want]), rtol=1e-7, atol=1e-9)
+
+
 def test_chunks_emit_every_row_once(spark):
     df = spark.range(1000).select(F.col("id").alias("row_idx"))
     got = over_chunks(df, lambda rows, w: rows.withColumn("n", F.count("*").over(w.rowsBetween(-40, 25))), 40, 25, chunk_rows=9)
@@ -132,8 +151,7 @@ def test_nearest_join_keeps_keys_apart(spark):
     assert {r.k: r.truth for r in got.collect()} == {"a": 1.0, "b": 2.0}
 
 
-@pytest.mark.parametrize("small_group", [0, 10_000])
-def test_quantiles_are_exact_either_way(spark, small_group):
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(8)
     frame = pd.DataFrame(
         {
@@ -145,13 +163,40 @@ def test_quantiles_are_exact_either_way(spark, small_group):
     frame.loc[rng.random(3000) < 0.1, "wide"] = np.nan
     df = spark.createDataFrame(frame).withColumn("wide", F.nanvl("wide", F.lit(None)))
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["wide", "ties"], probabilities, ["k"], small_group=small_group).collect()
+    got = exact_quantiles(df, ["wide", "ties"], probabilities, ["k"]).collect()
     assert len(got) == 4
     for row in got:
         want = np.nanquantile(frame.loc[frame.k == row.k, row["name"]], probabilities)
         np.testing.assert_allclose([row[f"q_{i}"] for i in range(5)], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [
+        ([1.0, 2.0, 3.0, np.inf], [1.0, 2.5, np.inf]), ([-np.inf, 1.0, np.inf], [-np.inf, 1.0, np.inf]), ([4.0] * 9, [4.0, 4.0, 4.0]),
+        ([np.nan, 1.0, None, 3.0], [1.0, 2.0, 3.0]), ([-np.inf, np.inf], [-np.inf, None, np.inf]), ([7.0], [7.0, 7.0, 7.0]),
+    ],
+)
+def test_quantiles_of_odd_values(spark, values, want):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    row = exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]).first()
+    assert [row.q_0, row.q_1, row.q_2] == want
+
+
+def test_quantiles_of_one_huge_group_and_of_none(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("double").alias("x"))
+    row = exact_quantiles(df, ["x"], [0.25, 0.5]).first()
+    assert (row.q_0, row.q_1) == (49_999.75, 99_999.5)
+    assert exact_quantiles(df.where("x < 0"), ["x"], [0.5]).count() == 0
+
+
+def test_attached_groups_are_the_same_salted(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    groups = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
+    plain = sorted(attach(rows, groups, ["k"]).select("k", "id", "v").collect())
+    assert plain == sorted(attach_salted(rows, groups, ["k"]).select("k", "id", "v").collect()) and len(plain) == 334
+
+
 def test_resampling_a_grid_changes_nothing(spark):
     rows = [(START + timedelta(seconds=int(s)), float(s)) for s in np.random.default_rng(2).integers(0, 90_000, 300)]
     once = resample.resample_mean(spark.createDataFrame(rows, "ts timestamp_ntz, v double"), ["v"], STEP)

@@ -93,7 +93,7 @@ def test_archives_become_one_signal(spark, archive_dir):
 
 def test_xml_is_flattened_and_later_values_win(spark, archive_dir):
     members = archives.expand_archives(archives.list_archives(spark, archive_dir))
-    assert {r.kind for r in members.select("kind").distinct().collect()} == {"txt", "xml"}
+    assert {r.kind for r in members.select("kind").distinct().collect()} == {"txt", "xml", archives.SKIPPED}
     got = archives.metadata_maps(archives.archive_metadata(members)).collect()
     assert [(r.archive, r.metadata) for r in got] == [("b.zip", {"m@v": "1", "m/sat": "three", "m/q/flag": "ok", "m/q/flag@level": "3"})]
 
@@ -103,6 +103,35 @@ def test_absent_archives_are_an_empty_table(spark, tmp_path):
     assert got.schema == schemas.TRUTH_SIGNAL and got.isEmpty()
 
 
+def test_absent_folder_is_an_empty_table(spark, tmp_path):
+    absent = records.optional_source(spark, lambda: archives.scan_archives(spark, str(tmp_path / "none")), schemas.TRUTH_SIGNAL)
+    assert absent.count() == 0
+    with pytest.raises(FileNotFoundError):
+        records.list_files(spark, str(tmp_path / "none"), "*.parquet")
+
+
+def test_a_damaged_archive_goes_whole_and_is_reported(spark, tmp_path):
+    line = "2020 1 0 0 0 3\n"
+    for name in ("good", "bad"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as packed:
+            packed.writestr("a.txt", line)
+            packed.writestr("b.txt", "x" * 40)
+    raw = (tmp_path / "bad.zip").read_bytes()
+    (tmp_path / "bad.zip").write_bytes(raw.replace(b"x" * 40, b"x" * 39 + b"y", 1))
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    members = archives.expand_archives(archives.list_archives(spark, str(tmp_path)))
+    assert {r.archive for r in members.where("kind = 'txt'").collect()} == {"good.zip"}
+    skipped = {r.archive: r.reason for r in archives.skipped_archives(members).collect()}
+    assert set(skipped) == {"bad.zip", "none.zip"} and "CRC" in skipped["bad.zip"]
+
+
+def test_skipped_files_are_listed(spark, tmp_path):
+    spark.createDataFrame([(T0, 1.0)], "ts timestamp_ntz, e2_flux double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "in" / "broken.parquet").write_bytes(b"PAR1 is not enough")
+    skipped = records.skipped_files(spark, str(tmp_path / "in")).collect()
+    assert [os.path.basename(r.source_file) for r in skipped] == ["broken.parquet"]
+
+
 def test_variables_are_resolved_per_file_and_bad_files_skipped(spark, tmp_path):
     at = lambda m: T0 + timedelta(minutes=m)
     write = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
