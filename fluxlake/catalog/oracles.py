@@ -46,6 +46,20 @@ FROM events WHERE NOT (user_id % 6 = 0 AND event_type = 'signup')
 """
 
 
+CTES["usr"] = """
+SELECT user_id, bin, v AS value, ts, row_number() OVER (PARTITION BY user_id ORDER BY bin) - 1 AS i
+FROM (SELECT s.user_id, s.bin, m.v, make_timestamp(s.bin * 7200000000) AS ts
+      FROM (SELECT user_id, unnest(generate_series(min(epoch_us(ts) // 7200000000), max(epoch_us(ts) // 7200000000))) AS bin FROM events GROUP BY user_id) s
+      LEFT JOIN (SELECT user_id, epoch_us(ts) // 7200000000 AS bin, avg(value) AS v FROM events GROUP BY 1, 2) m
+             ON m.user_id = s.user_id AND m.bin = s.bin)
+"""
+CTES["usrgap"] = """
+SELECT *, max(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS pi,
+       min(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni
+FROM usr
+"""
+
+
 def _cols(names) -> str:
     return ", ".join(q(n) for n in names)
 
@@ -435,6 +449,17 @@ _FINAL = {
         SELECT o_orderkey, o_orderpriority, {_r('(o_totalprice - m) / (h - l)', 'o_totalprice_scaled')} FROM orders JOIN
         (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.25) AS l, quantile_cont(o_totalprice, 0.75) AS h
          FROM orders GROUP BY 1) USING (o_orderpriority)""",
+    "interpolate_gaps_by_key": f"""SELECT g.user_id, g.ts, g.i AS row_idx,
+        {_r('CASE WHEN g.value IS NOT NULL THEN g.value WHEN g.ni - g.pi - 1 <= ' + str(s.MAX_GAP) + ' THEN p.value + (n.value - p.value) / (g.ni - g.pi) * (g.i - g.pi) END', 'value')}
+        FROM usrgap g LEFT JOIN usr p ON p.user_id = g.user_id AND p.i = g.pi LEFT JOIN usr n ON n.user_id = g.user_id AND n.i = g.ni""",
+    "null_runs_by_key": """SELECT user_id, min(i) AS first_idx, max(i) AS last_idx, count(*) AS run_length FROM usrgap WHERE value IS NULL GROUP BY user_id, pi""",
+    "lag_features_by_key": f"""SELECT user_id, ts, i AS row_idx, {', '.join(_r(f'lag(value, {k}) OVER (PARTITION BY user_id ORDER BY i)', f'value_lag_{k}') for k in s.LAG_STEPS)},
+        {_r('value - lag(value) OVER (PARTITION BY user_id ORDER BY i)', 'delta_value')} FROM usr""",
+    "asof_by_key": f"""SELECT event_id, user_id, ts, matched_ts, {_r('viewed')} FROM (
+        SELECT l.event_id, l.user_id, l.ts, r.ts AS matched_ts, r.value AS viewed,
+               row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS place
+        FROM events l JOIN events r ON r.user_id = l.user_id AND r.event_type = 'view' AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 86400000000
+        WHERE l.event_type = 'purchase') WHERE place = 1""",
 }
 
 ORACLES = {name: _sql(final) for name, final in _FINAL.items()}

@@ -685,3 +685,38 @@ def robust_scale_by_key(spark, sf_dir):
     params = scaling.robust_params(b.orders(spark, sf_dir), ["o_totalprice"], ["o_orderpriority"])
     scaled = scaling.apply_keyed_scaler(b.orders(spark, sf_dir), params, ["o_totalprice"], ["o_orderpriority"])
     return scaled.select("o_orderkey", "o_orderpriority", "o_totalprice_scaled")
+
+
+def _user_rows(spark, sf_dir) -> DataFrame:
+    """A series per user: mean value on the grid step, with positions. Its rows grow with the users and the days."""
+
+    def build():
+        grid = stage(resample.resample_mean(b.events(spark, sf_dir), ["value"], b.CADENCE, ["user_id"]), "user_grid")
+        return stage(with_row_index(grid, b.CADENCE, ["user_id"]), "user_grid_indexed")
+
+    return b.keep(spark, sf_dir, "user_rows", build)
+
+
+@query
+def interpolate_gaps_by_key(spark, sf_dir):
+    return windows.interpolate_gaps(_user_rows(spark, sf_dir), ["value"], keys=["user_id"], drop_unfilled=False)
+
+
+@query
+def null_runs_by_key(spark, sf_dir):
+    return windows.null_runs(_user_rows(spark, sf_dir), "value", keys=["user_id"])
+
+
+@query
+def lag_features_by_key(spark, sf_dir):
+    rows = windows.lag_features(_user_rows(spark, sf_dir), "value", prefix="value", keys=["user_id"])
+    return windows.delta_features(rows, {"delta_value": "value"}, keys=["user_id"]).drop("value")
+
+
+@query
+def asof_by_key(spark, sf_dir):
+    """Each user's purchases with the nearest of their views within a day."""
+    rows = b.events(spark, sf_dir)
+    left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = rows.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("viewed"))
+    return asof.asof_nearest(left, right, ["viewed"], timedelta(days=1), keys=["user_id"])
