@@ -460,6 +460,14 @@ _FINAL = {
                row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS place
         FROM events l JOIN events r ON r.user_id = l.user_id AND r.event_type = 'view' AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 86400000000
         WHERE l.event_type = 'purchase') WHERE place = 1""",
+    "gbt_search_rule": "SELECT DISTINCT horizon, CAST(4 AS BIGINT) AS n_trials, CAST(1 AS BIGINT) AS n_best, TRUE AS first_smallest FROM dst WHERE split = 'val'",
+    "gbt_saved_rows": f"SELECT horizon, ts, {_r('y')}, TRUE AS same FROM dst WHERE split = 'test' AND horizon IN (SELECT horizon FROM dst WHERE split = 'val')",
+    "seq_rows": f"SELECT horizon, split, ts, {_r('y')}, TRUE AS forecast FROM dst, cfg WHERE si >= len - 1 AND horizon IN (SELECT horizon FROM dst WHERE split = 'val')",
+    "full_history_rows": f"""SELECT f.ts + to_microseconds(h.steps * w) AS valid_ts, h.horizon, {_r('f.log_electron_flux', 'persistence_pred')}, TRUE AS forecast
+        FROM feat f CROSS JOIN cfg CROSS JOIN (SELECT DISTINCT horizon, steps FROM dst, cfg WHERE split = 'val' AND si >= len - 1) h WHERE f.i >= len - 1""",
+    "latest_forecast_rows": """SELECT h.horizon, f.ts + to_microseconds(h.steps * w) AS valid_ts, TRUE AS text_fits, TRUE AS rated
+        FROM feat f CROSS JOIN cfg CROSS JOIN (SELECT DISTINCT horizon, steps FROM dst, cfg WHERE split = 'val' AND si >= len - 1) h
+        WHERE f.i = f.n - 1 AND f.n >= len""",
 }
 
 ORACLES = {name: _sql(final) for name, final in _FINAL.items()}

@@ -576,6 +576,10 @@ def gbt_grid(spark, sf_dir):
 
 @query
 def gbt_predict(spark, sf_dir):
+    return gbt_predict_raw(spark, sf_dir)
+
+
+def gbt_predict_raw(spark, sf_dir):
     """Every tree model saved, loaded and applied to its test rows."""
     parts = None
     for horizon, fitted in _trees(spark, sf_dir).items():
@@ -608,6 +612,10 @@ def model_comparison(spark, sf_dir):
 
 @query
 def full_history_predictions(spark, sf_dir):
+    return full_history_raw(spark, sf_dir)
+
+
+def full_history_raw(spark, sf_dir):
     alphas = evaluate.collect_alphas(_weights(spark, sf_dir))
     return evaluate.full_history(
         b.feature_rows(spark, sf_dir), _trees(spark, sf_dir), _window_models(spark, sf_dir), alphas, b.CADENCE
@@ -626,6 +634,10 @@ def validate_truth(spark, sf_dir):
 
 @query
 def latest_forecast(spark, sf_dir):
+    return latest_forecast_raw(spark, sf_dir)
+
+
+def latest_forecast_raw(spark, sf_dir):
     weights = _weights(spark, sf_dir)
     return report.latest_forecast(
         b.feature_rows(spark, sf_dir), _trees(spark, sf_dir), _window_models(spark, sf_dir), weights,
@@ -633,6 +645,52 @@ def latest_forecast(spark, sf_dir):
     )
 
 
+# What must hold of the learners' results whatever they have learnt, in a form that SQL can repeat.
+
+
+@query
+def gbt_search_rule(spark, sf_dir):
+    """Per horizon: settings tried, settings marked as best, and whether that is the first with the least error."""
+    rows = []
+    for horizon, fitted in _trees(spark, sf_dir).items():
+        errors = [error for _, error in fitted.trials]
+        first = fitted.trials[errors.index(min(errors))][0]
+        rows.append((horizon, len(errors), sum(p == fitted.params for p, _ in fitted.trials), first == fitted.params and fitted.val_rmse == min(errors)))
+    return spark.createDataFrame(rows, "horizon string, n_trials bigint, n_best bigint, first_smallest boolean")
+
+
+@query
+def gbt_saved_rows(spark, sf_dir):
+    """Test rows of every horizon, and whether the saved and loaded model forecasts as the one in memory."""
+    loaded = gbt_predict_raw(spark, sf_dir)
+    own = None
+    for horizon, fitted in _trees(spark, sf_dir).items():
+        test = b.datasets(spark, sf_dir).where((F.col("horizon") == horizon) & (F.col("split") == "test"))
+        rows = learners.predict_trees(fitted, test, "own_pred").select("horizon", "ts", "own_pred")
+        own = rows if own is None else own.unionByName(rows)
+    both = loaded.join(own, ["horizon", "ts"])
+    return both.select("horizon", "ts", "y", (F.col("tree_pred") == F.col("own_pred")).alias("same"))
+
+
+@query
+def seq_rows(spark, sf_dir):
+    known = ~F.isnan("sequence_pred") & F.col("sequence_pred").isNotNull() & F.col("tree_pred").isNotNull()
+    return _predictions(spark, sf_dir).select("horizon", "split", "ts", "y", known.alias("forecast"))
+
+
+@query
+def full_history_rows(spark, sf_dir):
+    rows = full_history_raw(spark, sf_dir)
+    return rows.select("valid_ts", "horizon", "persistence_pred", F.col("model_pred").isNotNull().alias("forecast"))
+
+
+@query
+def latest_forecast_rows(spark, sf_dir):
+    rows = latest_forecast_raw(spark, sf_dir)
+    text = F.format_string("%.2e", F.pow(F.lit(10.0), F.col("log_pred")))
+    return rows.select("horizon", "valid_ts", (F.col("flux_text") == text).alias("text_fits"), F.col("confidence").isNotNull().alias("rated"))
+
+
 # ---- reports -------------------------------------------------------------------------------------------
 
 

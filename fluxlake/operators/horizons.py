@@ -13,7 +13,9 @@ from fluxlake.operators.position import CHUNK_ROWS, over_chunks
 
 
 def horizon_column(name: Column | str, values: Mapping[str, float]) -> Column:
-    """Look a horizon up in a small mapping, as an expression (no join)."""
+    """Look a horizon up in a small mapping, as an expression (no join); what it doesn't hold is NULL."""
+    if not values:
+        return F.lit(None).cast("double")
     key = F.col(name) if isinstance(name, str) else name
     pairs = [part for horizon, value in values.items() for part in (F.lit(horizon), F.lit(value))]
     return F.create_map(*pairs)[key]
