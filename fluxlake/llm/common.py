@@ -16,10 +16,20 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get few rows at a time. This changes the session's setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents below ``sf_dir``, with the shared folder set up for staging."""
     settle(spark)
     shared_dir(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import components, documents, hot_join
+from fluxlake.llm.common import components, documents, hot_join, small_batches
 from fluxlake.session import stage
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
 SEGMENTS = 3
+# Fingerprints that may share a segment value before they are linked over midpoints.
+CROWD = 2048
 # Shingles hashed at a time, which bounds the memory of a very long text.
 BLOCK = 1 << 16
 
@@ -49,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` of every row."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("bigint")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,16 +91,39 @@ def _values(fp: Column, parts: list[tuple[int, int, int]], ball: bool) -> Column
     return F.array(*keys)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """``(a, b)``, ``a < b``: pairs of the distinct fingerprints ``prints(fp)`` within ``distance`` bits.
+def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """``(a, b)``: edges with the connected components of the distinct ``prints(fp)`` within ``distance`` bits.
 
-    A pair is met once, from its larger side: balls are symmetric, so one direction finds it.
+    In general edges are the linked pairs, each met from its larger side (balls are symmetric). Segment values that
+    more than ``crowd`` fingerprints share would make a square of pairs, so whoever meets at one is linked over
+    midpoints instead, which is as exact and linear. For an odd distance there is no midpoint, and pairs are used.
     """
     parts = layout(segments, distance)
     table = prints.select(F.col("fp").alias("a"), F.explode(_values(F.col("fp"), parts, False)).alias("key"))
     probes = prints.select(F.col("fp").alias("b"), F.explode(_values(F.col("fp"), parts, True)).alias("key"))
+    edges = None
+    if distance % 2 == 0:
+        crowded = stage(table.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded-segments")
+        if not crowded.isEmpty():
+            met = table.join(crowded, "key", "left_semi").select(F.col("a").alias("fp")).unionByName(probes.join(crowded, "key", "left_semi").select(F.col("b").alias("fp")))
+            edges = _midpoints(met.distinct(), distance // 2)
+            table, probes = table.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return table.join(probes, "key").where(near).select("a", "b").distinct()
+    pairs = table.join(probes, "key").where(near).select("a", "b").distinct()
+    return pairs if edges is None else pairs.unionByName(edges)
+
+
+def _midpoints(prints: DataFrame, radius: int) -> DataFrame:
+    """Edges from fingerprints to the 64-bit values within ``radius`` that two or more of them share.
+
+    Two fingerprints within ``2 * radius`` bits have such a value between them, and two that share one are so near. A
+    value that is itself a fingerprint is within the distance of all of them, so it may be the same node.
+    """
+    flips = [sum(1 << bit for bit in bits) for size in range(radius + 1) for bits in combinations(range(64), size)]
+    masks = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in flips])
+    points = prints.select(F.col("fp").alias("a"), F.explode(masks).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("b"))
+    shared = points.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+    return points.join(shared, "b").select("a", "b")
 
 
 _ROW = ("nameless", "id", "version")
