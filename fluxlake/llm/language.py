@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import crc_slot, documents
+from fluxlake.llm.common import crc_slot, documents, small_batches
 from fluxlake.session import stage
 
 # Cells that n-grams are hashed to, landmarks and labelled rows per language that a model is fitted on at most, ridge.
@@ -110,6 +110,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     Texts that are NULL or have no letter get ``und`` with score 0, as do all texts if there is no model.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
