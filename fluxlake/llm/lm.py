@@ -24,7 +24,11 @@ from fluxlake.session import stage
 VOCABULARY = 1024
 CLASSES = 20
 HIDDEN = 16
+# Steps of a window: at least so many, and more when few texts of a group go on, up to so many tokens or steps.
 WINDOW = 16
+LONGEST_WINDOW = 256
+TRAIN_TOKENS = 4096
+SCORE_TOKENS = 16_384
 # Documents that step together in training and scoring, and tokens that are held at a time.
 TRAIN_ROWS = 256
 SCORE_ROWS = 1024
@@ -205,18 +209,20 @@ def _log_softmax(x: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[n
     return score, e
 
 
-def _windows(texts: list[np.ndarray], rows: int, start: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+def _windows(texts: list[np.ndarray], rows: int, most: int, start: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Windows over groups of texts of like lengths: ``(which texts, place, tokens, live, first)``.
 
     Texts that have ended leave the group at the next window. ``tokens`` holds one step before the window, at first ``start``.
+    A window has ``most`` tokens if that makes ``WINDOW`` to ``LONGEST_WINDOW`` steps.
     """
     order = np.argsort([-len(t) for t in texts], kind="stable")
     for at in range(0, len(order), rows):
         group = order[at:at + rows]
         sizes = np.array([len(texts[i]) for i in group])
-        for begin in range(0, int(sizes[0]), WINDOW):
+        begin = 0
+        while begin < sizes[0]:
             n = int(np.searchsorted(-sizes, -begin, side="left"))
-            steps = min(WINDOW, int(sizes[0]) - begin)
+            steps = min(max(WINDOW, min(LONGEST_WINDOW, most // n)), int(sizes[0]) - begin)
             tokens = np.full((steps + 1, n), END, np.int64)
             live = (np.arange(steps)[:, None] + begin) < sizes[:n]
             for column, i in enumerate(group[:n]):
@@ -228,13 +234,14 @@ def _windows(texts: list[np.ndarray], rows: int, start: int) -> Iterator[tuple[n
                     tokens[0, column] = start
                     tokens[1:len(part) + 1, column] = part
             yield group[:n], begin, tokens, live, begin == 0
+            begin += steps
 
 
 def train_texts(net: Network, texts: list[np.ndarray], rate: float, memory: dict) -> None:
     """Truncated backpropagation over whole texts of tokens, by Adam on the mean gradient of a window's tokens."""
     start = len(net.klass)
     h = np.zeros((0, net.hidden), np.float32)
-    for group, _, tokens, live, first in _windows(texts, TRAIN_ROWS, start):
+    for group, _, tokens, live, first in _windows(texts, TRAIN_ROWS, TRAIN_TOKENS, start):
         h = np.zeros((len(group), net.hidden), np.float32) if first else h[:len(group)]
         grads, h = net.gradients(tokens, live, h)
         count = live.sum()
@@ -252,7 +259,7 @@ def train_texts(net: Network, texts: list[np.ndarray], rate: float, memory: dict
 def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each text of tokens, over its whole length."""
     out, h = np.zeros(len(texts)), np.zeros((0, net.hidden), np.float32)
-    for group, _, tokens, live, first in _windows(texts, SCORE_ROWS, len(net.klass)):
+    for group, _, tokens, live, first in _windows(texts, SCORE_ROWS, SCORE_TOKENS, len(net.klass)):
         h = np.zeros((len(group), net.hidden), np.float32) if first else h[:len(group)]
         states, _ = net.states(tokens, h)
         h = states[-1]
