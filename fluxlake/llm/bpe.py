@@ -24,17 +24,21 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from fluxlake.llm.common import documents
+from fluxlake.llm.common import documents, small_batches
 
 # The byte-level alphabet's printable ranges and the pattern that splits text before the merges.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Unicode white space. No piece goes on from other characters into it, so a text may be cut before each run of it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-# Chunks and pieces that a worker remembers.
-CHUNKS_KEPT = 1 << 18
-PIECES_KEPT = 1 << 18
+# Neighbouring white space, or white space other than space and line end.
+ODD_SPACE = re.compile("[ \n][ \n]|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Marks that are neither letters, digits nor white space.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Chunks and words that each generation of a worker's memory holds.
+CHUNKS_KEPT = 1 << 16
+WORDS_KEPT = 1 << 17
 
 
 def byte_of() -> dict[str, int]:
@@ -64,6 +68,9 @@ class Automaton:
         # Labels as a tree: a node's children by byte, and under -1 the token that ends there.
         self.tree: dict = {}
         live = [number for token, number in vocab.items() if len(token) == 1]
+        self.reached = [False] * size
+        for number in live:
+            self.reached[number] = True
         for rank, (u, v) in enumerate(merges):
             merged = self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
             if merged is not None:
@@ -81,11 +88,13 @@ class Automaton:
         self.table: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, merged: int) -> int | None:
-        if not self._allowed(u, v):
+        # A part that no path has (its own merge never fires) makes this one idle too.
+        if not (self.reached[u] and self.reached[v] and self._allowed(u, v)):
             return None
         self.cuts[u][v] = rank
         if self.born[merged] < 0 and merged not in (u, v):
             self.left[merged], self.right[merged], self.born[merged] = u, v, rank
+            self.reached[merged] = True
             return merged
         return None
 
@@ -180,7 +189,7 @@ class _Kept(dict):
 
 
 class ChunkEncoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers, by the encodings of their chunks and pieces.
+    """Texts to ids, as little-endian unsigned 32-bit integers, by the encodings of their chunks.
 
     ``encode_piece`` encodes a piece of the split pattern; ``added`` are token strings that are cut out of a text first.
     """
@@ -188,11 +197,18 @@ class ChunkEncoder:
     def __init__(self, encode_piece, added: dict[str, int]):
         self.encode_piece = encode_piece
         self.split = regex.compile(PATTERN).findall
-        self.pieces = _Kept(self._piece, PIECES_KEPT)
+        # By chunk; and in texts of plain words, by word, which stands for the word with a space in front.
         self.chunks = _Kept(self._chunk, CHUNKS_KEPT)
+        self.words = _Kept(self._word, WORDS_KEPT)
         self.added = {text: self._bytes([number]) for text, number in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
+    def forget(self) -> None:
+        """Give the memory back, for whatever the worker does next."""
+        for kept in (self.chunks, self.words):
+            kept.clear()
+            kept.old = {}
+
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         out = array("I", ids)
@@ -200,16 +216,27 @@ class ChunkEncoder:
             out.byteswap()
         return out.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return self._bytes(self.encode_piece(piece))
+    def _word(self, word: str) -> bytes:
+        return self._chunk(word if word[0] == "\n" else " " + word)
 
     def _chunk(self, chunk: str) -> bytes:
-        # Letters, with a space in front or not, are one piece.
-        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
-            return self._piece(chunk)
-        return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
+        # Letters, with a space in front or not, are one piece, and so are marks behind them.
+        core = chunk.rstrip(MARKS)
+        if (core[1:] if core[:1] == " " else core).isalpha():
+            if len(core) == len(chunk):
+                return self._bytes(self.encode_piece(chunk))
+            known = self.words[core[1:]] if core[0] == " " else self.chunks[core]
+            return known + self.chunks[chunk[len(core):]]
+        pieces = self.split(chunk)
+        if len(pieces) == 1:
+            return self._bytes(self.encode_piece(chunk))
+        return b"".join(map(self.chunks.__getitem__, pieces))
 
     def plain(self, text: str) -> bytes:
+        # Words parted by single spaces and line ends only, which nearly all texts are: splitting is then enough.
+        if not ODD_SPACE.search(text) and text[:1] not in " \n" and text[-1:] not in " \n":
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self.chunks[first] + b"".join(map(self.words.__getitem__, rest))
         return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
@@ -262,7 +289,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", frame["doc_id"].values)
             yield out
+        coder.encode.forget()
 
+    small_batches(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<bigint>, decoded string" if with_ids else "")
