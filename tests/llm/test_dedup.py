@@ -148,6 +148,46 @@ def test_line_dedup_equals_the_definition(table, most):
     assert got == brute_lines(rows, most)
 
 
+def test_signs_are_those_of_segments_and_substrings(monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in (24, 25, 26, 60, 98, 99, 100, 101, 103, 150, 199, 200, 203, 204, 333)]
+    monkeypatch.setattr(line_dedup, "BLOCK", 300)
+    for most in (None, 0, 1, 2):
+        got: dict = {}
+        for which, sign, probe, edits in line_dedup.signs(lines, most):
+            for i, one in zip(which.tolist(), sign.tolist()):
+                got.setdefault(i, []).append((one, probe, edits))
+        told: dict = {}
+        for i, line in enumerate(lines):
+            want = []
+            for indexed in range(line_dedup.NEAR_CHARS, len(line) + 1):
+                edits = line_dedup.edits_of(indexed, most)
+                if len(line) - indexed <= edits:
+                    own = set(enumerate(s for s, _ in line_dedup.segments(indexed, edits))) if indexed == len(line) else set()
+                    want += [((indexed, n, line[s:s + z]), (n, s) not in own, edits) for n, s, z in line_dedup.substrings(len(line), indexed, edits)]
+            assert sorted((p, e) for _, p, e in want) == sorted((p, e) for _, p, e in got[i])
+            told[i] = {w for w, _, _ in want}
+        # As many signs as there are different segments: equal ones agree, others differ.
+        assert len(set().union(*told.values())) == len({one for rows in got.values() for one, _, _ in rows})
+
+
+def test_lines_with_two_edits_or_more_go_at_any_length(table):
+    rng = random.Random(12)
+    rows, gone = [], set()
+    for n, change in ((30, 2), (99, 2), (100, 3), (199, 3), (200, 4), (900, 4), (60, 3), (150, 4), (300, 5)):
+        for kind in range(3):
+            line = [rng.choice("abcdefgh") for _ in range(n)]
+            other = list(line)
+            for at in sorted(rng.sample(range(n), change), reverse=True):
+                other[at:at + (kind != 1)] = ["x"] if kind < 2 else []
+            rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join(other))]
+            # Dropped characters make the shorter line's length count.
+            if change <= line_dedup.edits_of(min(len(line), len(other))):
+                gone.add(len(rows) - 1)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(rows)).collect()}
+    assert {i for i, t in got.items() if not t} == gone and len(gone) >= 14
+
+
 def test_line_dedup_of_odd_rows(table):
     long = "a line that is long enough to be compared"
     rows = ODD + [(20, f"{long}\nx\nx\n\n{long}s", None, None), (21, f"  {long}\t\nx", None, None), (None, f"new words for a line in here\n{long}", None, None)]
