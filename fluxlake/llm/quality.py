@@ -1,7 +1,7 @@
 """Quality rules with an isolation forest on their statistics.
 
 Every document gets rule statistics over its whole text. A forest of random axis-parallel splits, grown on labelled good
-rows inside the box that all sampled rows span, gives each document a mean path length: statistics in empty parts of the
+rows inside the box that all rows span, gives each document a mean path length: statistics in empty parts of the
 box are cut off after few splits. The path length from which a document is anomalous is calibrated from the labelled rows.
 """
 
@@ -19,7 +19,7 @@ from fluxlake.session import stage
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
-# Rows that the forest is fitted on at most (good ones, and any for the box), trees, and rows per tree.
+# Good rows that the forest is fitted on at most, trees, and rows per tree.
 FIT_ROWS = 20_000
 TREES = 128
 TREE_ROWS = 256
@@ -147,14 +147,28 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
     return np.array([tuple(r) for r in picked.collect()], float).reshape(-1, len(STATS + MORE))
 
 
+def _box(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of each feature over all rows: two per batch, then one aggregate."""
+    names = [f"f{i}" for i in range(features(np.zeros((1, len(STATS + MORE)))).shape[1])]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = features(frame.to_numpy())
+                yield pd.DataFrame([x.min(0), x.max(0)], columns=names)
+
+    ends = rows.select(*STATS, *MORE).mapInPandas(run, ", ".join(f"{name} double" for name in names))
+    both = ends.agg(*[F.min(name) for name in names], *[F.max(name) for name in names]).first()
+    return np.array(both[:len(names)], float), np.array(both[len(names):], float)
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the five rule statistics, ``base_failed, kept, anomaly``.
 
     ``base_failed``: under 50 words, or more than half of the words in repeated windows. ``kept``: not failed, and not
-    anomalous by the forest. The forest is fitted on at most ``fit_rows`` good rows, and its box on as many rows of any
-    kind; the threshold is the anomaly that costs least over all labelled rows that pass the base rules, a rejected good row
+    anomalous by the forest. The forest is fitted on at most ``fit_rows`` good rows, inside the box of all rows; the threshold is the anomaly that costs least over all labelled rows that pass the base rules, a rejected good row
     weighing ``GOOD_WEIGHT`` accepted bad ones. Without labels of both kinds nothing is anomalous. Labels that are
     NULL, or of NULL or unknown ids, are not used; of several labels for an id the smallest holds. NULL text counts as
     empty and fails. Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
@@ -168,8 +182,7 @@ def judge(
     anomaly = F.lit(0.0)
     scored, cut = stats.withColumn("anomaly", anomaly), None
     if len(good):
-        box = features(np.vstack([good, _sample(stats, fit_rows)]))
-        forest = docs.sparkSession.sparkContext.broadcast(Forest(features(good), box.min(0), box.max(0)))
+        forest = docs.sparkSession.sparkContext.broadcast(Forest(features(good), *_box(stats)))
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:

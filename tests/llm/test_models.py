@@ -145,6 +145,22 @@ def test_threshold_keeps_good_rows_and_drops_bad_ones(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_box_holds_every_row_whatever_the_sample(spark, real, table, monkeypatch):
+    junk = [(10_000, "# $ % & " * 40, None, None), (10_001, "QX!7" * 300, None, None)]
+    docs = real.select("doc_id", "text").unionByName(table(junk).select("doc_id", "text"))
+    labels = real.selectExpr("doc_id", "cast(doc_id % 5 > 0 AS int) AS quality")
+    seen, init = [], quality.Forest.__init__
+
+    def grown(forest, good, low, high):
+        seen.append((low, high))
+        init(forest, good, low, high)
+
+    monkeypatch.setattr(quality.Forest, "__init__", grown)
+    quality.judge(docs, labels, fit_rows=20)
+    x = quality.features(np.array([quality.statistics(r.text) for r in docs.collect()]))
+    np.testing.assert_array_equal(seen, [(x.min(0), x.max(0))])
+
+
 def test_judging_odd_rows(table, spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (6, None), (99, 1)], "doc_id bigint, quality int")
     got = quality.judge(table(ODD), labels).collect()
