@@ -187,6 +187,11 @@ class _Kept(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Give the memory back, for whatever the worker does next."""
+        self.clear()
+        self.old = {}
+
 
 class ChunkEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers, by the encodings of their chunks.
@@ -206,8 +211,7 @@ class ChunkEncoder:
     def forget(self) -> None:
         """Give the memory back, for whatever the worker does next."""
         for kept in (self.chunks, self.words):
-            kept.clear()
-            kept.old = {}
+            kept.forget()
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:

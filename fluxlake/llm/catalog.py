@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxlake.llm import bpe, exact_dedup, language, line_dedup, lm, quality, secrets, simhash, source_mix, token_binary
+from fluxlake.llm import bpe, exact_dedup, language, lexical, line_dedup, lm, packing, prefix_trie, quality, secrets, simhash, source_mix, token_binary
 
 QUERIES = {
     "op1_bpe_encode": bpe.op1_bpe_encode,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_binary": token_binary.op8_token_binary,
     "op9_language_id": language.op9_language_id,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op11_packing": packing.op11_packing,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op12_lexical_search": lexical.ORACLE}
