@@ -219,6 +219,49 @@ CTES["val"] = """
 SELECT horizon, ts + to_microseconds(steps * w) AS valid_ts, persistence_pred, weight * sequence_pred + (1 - weight) * tree_pred AS model_pred FROM dst, cfg
 """
 
+# Boosted stumps on the place in the day: round by round the split of the training rows that explains most, on residuals from the second on.
+CTES["sd0"] = "SELECT horizon, split, si, y, (epoch_us(ts) // w) % 12 AS slot, CAST(0 AS DOUBLE) AS f FROM dst, cfg"
+for _k in range(1, 4):
+    _target, _weight = ("y", 1) if _k == 1 else ("2 * (y - f)", 0.3)
+    CTES[f"sg{_k}"] = f"""
+    SELECT horizon, slot, lead(slot) OVER byslot AS after, sum(n) OVER byslot AS nl, sum(t) OVER byslot AS tl, sum(n) OVER (PARTITION BY horizon) AS n, sum(t) OVER (PARTITION BY horizon) AS t
+    FROM (SELECT horizon, slot, count(*) AS n, sum({_target}) AS t FROM sd{_k - 1} WHERE split = 'train' GROUP BY 1, 2) WINDOW byslot AS (PARTITION BY horizon ORDER BY slot)
+    """
+    CTES[f"st{_k}"] = f"""
+    SELECT horizon, (slot + after) / 2 AS cut, tl / nl AS low, (t - tl) / (n - nl) AS high FROM sg{_k} WHERE after IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY tl * tl / nl + (t - tl) * (t - tl) / (n - nl) DESC, slot) = 1
+    """
+    CTES[f"sd{_k}"] = f"""
+    SELECT d.* EXCLUDE (f), f + CAST({_weight} AS DOUBLE) * CASE WHEN slot <= cut THEN low ELSE high END AS f FROM sd{_k - 1} d JOIN st{_k} USING (horizon)
+    """
+# Ridge regression on two rows of one input, in closed form.
+CTES["pz"] = "SELECT horizon, avg(log_electron_flux) AS mu, stddev_pop(log_electron_flux) AS sigma FROM dst WHERE split = 'train' GROUP BY horizon"
+CTES["pw"] = """
+SELECT horizon, split, ts, y, z1, z2 FROM (SELECT horizon, split, ts, y, (log_electron_flux - mu) / sigma AS z1,
+    lag((log_electron_flux - mu) / sigma) OVER (PARTITION BY horizon, split ORDER BY si) AS z2 FROM dst JOIN pz USING (horizon)) WHERE z2 IS NOT NULL
+"""
+CTES["pc"] = """
+SELECT *, (s22 * b1 - s12 * b2) / (s11 * s22 - s12 * s12) AS w1, (s11 * b2 - s12 * b1) / (s11 * s22 - s12 * s12) AS w2
+FROM (SELECT horizon, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my, var_pop(z1) + CAST(0.01 AS DOUBLE) AS s11, var_pop(z2) + CAST(0.01 AS DOUBLE) AS s22,
+             covar_pop(z1, z2) AS s12, covar_pop(z1, y) AS b1, covar_pop(z2, y) AS b2 FROM pw WHERE split = 'train' GROUP BY horizon)
+"""
+# Values by input, lags and rows with a whole window, of horizon A's training part.
+CTES["gmv"] = """
+SELECT si, name, value FROM (SELECT si, log_electron_flux, delta_flux FROM dst WHERE horizon = 'A' AND split = 'train') UNPIVOT (value FOR name IN (log_electron_flux, delta_flux))
+"""
+CTES["gml"] = "SELECT unnest(generate_series(0, (SELECT len - 1 FROM cfg))) AS lag"
+CTES["gmt"] = "SELECT si AS t FROM dst, cfg WHERE horizon = 'A' AND split = 'train' AND si >= len - 1"
+# Horizons whose validation part has a row.
+CTES["hv"] = "SELECT DISTINCT horizon, steps FROM dst WHERE split = 'val'"
+CTES["fhv"] = """
+SELECT f.ts, f.i, f.n, h.horizon, f.ts + to_microseconds(h.steps * w) AS valid_ts, f.log_electron_flux AS persistence_pred,
+       CAST(0.3 AS DOUBLE) * (my + w1 * ((f.log_electron_flux - mu) / sigma - m1) + w2 * ((f.before - mu) / sigma - m2))
+       + CAST(0.7 AS DOUBLE) * (CASE WHEN slot <= st1.cut THEN st1.low ELSE st1.high END + CAST(0.3 AS DOUBLE) * (CASE WHEN slot <= st2.cut THEN st2.low ELSE st2.high END
+       + CASE WHEN slot <= st3.cut THEN st3.low ELSE st3.high END)) AS model_pred
+FROM (SELECT ts, i, n, log_electron_flux, lag(log_electron_flux) OVER (ORDER BY i) AS before, (epoch_us(ts) // w) % 12 AS slot, w FROM feat, cfg) f CROSS JOIN hv h
+JOIN pz USING (horizon) JOIN pc USING (horizon) JOIN st1 USING (horizon) JOIN st2 USING (horizon) JOIN st3 USING (horizon) WHERE f.i >= 1
+"""
+
 
 def _nearest(left: str, ts: str) -> str:
     """A backward and a forward as-of join; the closer one wins, the earlier on a tie."""
@@ -460,11 +503,23 @@ _FINAL = {
                row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS place
         FROM events l JOIN events r ON r.user_id = l.user_id AND r.event_type = 'view' AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 86400000000
         WHERE l.event_type = 'purchase') WHERE place = 1""",
-    "gbt_search_rule": "SELECT DISTINCT horizon, CAST(4 AS BIGINT) AS n_trials, CAST(1 AS BIGINT) AS n_best, TRUE AS first_smallest FROM dst WHERE split = 'val'",
+    "gbt_search_rule": "SELECT DISTINCT horizon, CAST(16 AS BIGINT) AS n_trials, CAST(1 AS BIGINT) AS n_best, TRUE AS first_smallest FROM dst WHERE split = 'val'",
     "gbt_saved_rows": f"SELECT horizon, ts, {_r('y')}, TRUE AS same FROM dst WHERE split = 'test' AND horizon IN (SELECT horizon FROM dst WHERE split = 'val')",
     "seq_rows": f"SELECT horizon, split, ts, {_r('y')}, TRUE AS forecast FROM dst, cfg WHERE si >= len - 1 AND horizon IN (SELECT horizon FROM dst WHERE split = 'val')",
     "full_history_rows": f"""SELECT f.ts + to_microseconds(h.steps * w) AS valid_ts, h.horizon, {_r('f.log_electron_flux', 'persistence_pred')}, TRUE AS forecast
         FROM feat f CROSS JOIN cfg CROSS JOIN (SELECT DISTINCT horizon, steps FROM dst, cfg WHERE split = 'val' AND si >= len - 1) h WHERE f.i >= len - 1""",
+    "gbt_rounds": " UNION ALL ".join(
+        f"SELECT horizon, CAST({k} AS BIGINT) AS round, {_r('sqrt(avg((y - f) * (y - f)))', 'val_rmse')} FROM sd{k} WHERE split = 'val' GROUP BY horizon" for k in (1, 2, 3)
+    ),
+    "seq_pairs": f"""SELECT horizon, split, ts, {_r('y')}, {_r('my + w1 * (z1 - m1) + w2 * (z2 - m2)', 'sequence_pred')}
+        FROM pw JOIN pc USING (horizon) WHERE horizon IN (SELECT horizon FROM hv)""",
+    "window_gram": f"""SELECT CAST(la.lag AS BIGINT) AS lag_a, a.name AS input_a, CAST(lb.lag AS BIGINT) AS lag_b, b.name AS input_b, {_r('sum(a.value * b.value)', 'total')}
+        FROM gmt CROSS JOIN gml la CROSS JOIN gml lb JOIN gmv a ON a.si = gmt.t - la.lag JOIN gmv b ON b.si = gmt.t - lb.lag GROUP BY 1, 2, 3, 4""",
+    "full_history_values": f"SELECT valid_ts, horizon, {_r('model_pred')}, {_r('persistence_pred')} FROM fhv",
+    "latest_forecast_values": f"""
+        SELECT fhv.horizon, valid_ts, {_r('model_pred', 'log_pred')}, {_r('power(CAST(10 AS DOUBLE), model_pred)', 'flux_pred')}, r2,
+               CASE WHEN r2 >= 0.5 THEN 'High' WHEN r2 >= 0 THEN 'Moderate' ELSE '{s.CONFIDENCE_TEXT["low"]}' END AS confidence
+        FROM fhv JOIN (SELECT horizon, {_metrics('y', 'ensemble')} FROM ens GROUP BY horizon) USING (horizon) WHERE i = n - 1""",
     "latest_forecast_rows": """SELECT h.horizon, f.ts + to_microseconds(h.steps * w) AS valid_ts, TRUE AS text_fits, TRUE AS rated
         FROM feat f CROSS JOIN cfg CROSS JOIN (SELECT DISTINCT horizon, steps FROM dst, cfg WHERE split = 'val' AND si >= len - 1) h
         WHERE f.i = f.n - 1 AND f.n >= len""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,9 @@ from fluxlake.catalog import derived
 from fluxlake.functions import guards
 from fluxlake.functions.times import bin_number, bin_start, seconds_between, shift_time
 from fluxlake.operators import asof, clean, gather, horizons, learners, resample, scaling, scoring, windows
+from fluxlake.operators.lagged import gram, normal_blocks
 from fluxlake.operators.position import with_row_index
+from fluxlake.operators.trees import FlatTrees, round_errors
 from fluxlake.plans import evaluate, report
 from fluxlake.plans.features import DELTAS
 from fluxlake.plans.prepare import clean_series
@@ -25,9 +28,6 @@ from fluxlake.sources import archives, profile, records, tables, text_layouts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small settings for the registered learner queries; the library default is ``schemas.TREE_GRID``.
-DEMO_GRID = {"n_estimators": [4, 8], "max_depth": [3], "learning_rate": [0.1, 0.3], "subsample": [1.0]}
-
 
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,7 +531,7 @@ def _trees(spark, sf_dir) -> dict[str, learners.Fitted]:
     def build():
         rows = b.datasets(spark, sf_dir)
         present = [r["horizon"] for r in rows.where("split = 'val'").select("horizon").distinct().collect()]
-        return {h: learners.train_trees(rows.where(F.col("horizon") == h), grid=DEMO_GRID) for h in sorted(present)}
+        return {h: learners.train_trees(rows.where(F.col("horizon") == h)) for h in sorted(present)}
 
     return b.keep(spark, sf_dir, "trees", build)
 
@@ -539,7 +539,8 @@ def _trees(spark, sf_dir) -> dict[str, learners.Fitted]:
 def _window_models(spark, sf_dir) -> dict[str, learners.Fitted]:
     def build():
         rows, length = b.datasets(spark, sf_dir), b.SEQUENCE_LENGTH
-        return {h: learners.train_windows(rows.where(F.col("horizon") == h), length) for h in sorted(_trees(spark, sf_dir))}
+        found = {h: learners.train_windows(rows.where(F.col("horizon") == h), length) for h in sorted(_trees(spark, sf_dir))}
+        return {h: model for h, model in found.items() if model is not None}
 
     return b.keep(spark, sf_dir, "window_models", build)
 
@@ -549,9 +550,9 @@ def _predictions(spark, sf_dir) -> DataFrame:
 
     def build():
         both = None
-        for horizon, trees in _trees(spark, sf_dir).items():
+        for horizon, windows_ in _window_models(spark, sf_dir).items():
             rows = b.datasets(spark, sf_dir).where(F.col("horizon") == horizon)
-            rows = learners.predict_windows(_window_models(spark, sf_dir)[horizon], learners.predict_trees(trees, rows))
+            rows = learners.predict_windows(windows_, learners.predict_trees(_trees(spark, sf_dir)[horizon], rows))
             both = rows if both is None else both.unionByName(rows)
         return stage(both.select("ts", "horizon", "split", "y", "tree_pred", "sequence_pred"), "predictions")
 
@@ -691,6 +692,84 @@ def latest_forecast_rows(spark, sf_dir):
     return rows.select("horizon", "valid_ts", (F.col("flux_text") == text).alias("text_fits"), F.col("confidence").isNotNull().alias("rated"))
 
 
+# Small models whose every number SQL can repeat: trees of one split on the place in the day, windows of two rows of one input.
+
+STUMP = {"depth": 1, "step": 0.3, "subsample": 1.0, "seed": 7}
+STUMP_ROUNDS = 3
+
+
+def _with_slot(rows: DataFrame) -> DataFrame:
+    """Grid step of the day that a row lies in."""
+    return rows.withColumn("slot", F.pmod(bin_number("ts", b.CADENCE), F.lit(12)).cast("double"))
+
+
+def _small_models(spark, sf_dir) -> tuple[dict[str, learners.Fitted], dict[str, learners.Fitted]]:
+    def build():
+        rows, trees, pairs = _with_slot(b.datasets(spark, sf_dir)), {}, {}
+        for h in sorted(r["horizon"] for r in rows.where("split = 'val'").select("horizon").distinct().collect()):
+            mine = rows.where(F.col("horizon") == h)
+            staged = learners.assemble(mine, ["slot"])
+            trees[h] = learners.Fitted(learners.boost(staged, STUMP_ROUNDS, **STUMP), ["slot"], {"rows": staged})
+            pairs[h] = learners.train_windows(mine, 2, [schemas.LOG_TARGET])
+        return trees, pairs
+
+    return b.keep(spark, sf_dir, "small_models", build)
+
+
+@query
+def gbt_rounds(spark, sf_dir):
+    """Validation error after each boosting round."""
+    rows = [
+        (h, at + 1, error) for h, fitted in _small_models(spark, sf_dir)[0].items()
+        for at, error in enumerate(round_errors(FlatTrees.of(fitted.model), fitted.params["rows"].where("is_val")))
+    ]
+    return spark.createDataFrame(rows, "horizon string, round bigint, val_rmse double")
+
+
+@query
+def seq_pairs(spark, sf_dir):
+    """Forecasts by windows of two rows."""
+    parts = None
+    for h, fitted in _small_models(spark, sf_dir)[1].items():
+        rows = learners.predict_windows(fitted, b.datasets(spark, sf_dir).where(F.col("horizon") == h)).select("horizon", "split", "ts", "y", "sequence_pred")
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
+@query
+def window_gram(spark, sf_dir):
+    """The Gram matrix of flattened windows over the training rows of horizon A, from blocks per lag and the rows at both ends."""
+    inputs, length = [schemas.LOG_TARGET, "delta_flux"], b.SEQUENCE_LENGTH
+    rows = b.datasets(spark, sf_dir).where("horizon = 'A' AND split = 'train'")
+    found = sorted(normal_blocks(rows, length, inputs, "y", "split_idx", [0.0, 0.0], [1.0, 1.0]).collect(), key=lambda r: r["lag"])
+    values = rows.select("split_idx", *inputs)
+    first = np.array([list(r)[1:] for r in values.where(F.col("split_idx") < length - 1).orderBy("split_idx").collect()])
+    last = np.array([list(r)[1:] for r in reversed(values.orderBy(F.col("split_idx").desc()).limit(length - 1).collect())])
+    matrix = gram(np.array([r["cross"] for r in found]).reshape(length, 2, 2), first, last)
+    cells = [(i // 2, inputs[i % 2], j // 2, inputs[j % 2], float(matrix[i, j])) for i in range(2 * length) for j in range(2 * length)]
+    return spark.createDataFrame(cells, "lag_a bigint, input_a string, lag_b bigint, input_b string, total double")
+
+
+def _small_alphas(spark, sf_dir) -> dict[str, float]:
+    return {h: 0.3 for h in _small_models(spark, sf_dir)[0]}
+
+
+@query
+def full_history_values(spark, sf_dir):
+    """Blended forecasts of the small models from every feature row with a whole window."""
+    trees, pairs = _small_models(spark, sf_dir)
+    return evaluate.full_history(_with_slot(b.feature_rows(spark, sf_dir)), trees, pairs, _small_alphas(spark, sf_dir), b.CADENCE)
+
+
+@query
+def latest_forecast_values(spark, sf_dir):
+    """The newest of those forecasts, rated by the test scores of the stand-in blend."""
+    trees, pairs = _small_models(spark, sf_dir)
+    weights = evaluate.ensemble_weights(b.stand_ins(spark, sf_dir), 2)
+    rows = report.latest_forecast(_with_slot(b.feature_rows(spark, sf_dir)), trees, pairs, weights, _small_alphas(spark, sf_dir), 2, b.CADENCE)
+    return rows.select("horizon", "valid_ts", "log_pred", "flux_pred", "r2", "confidence")
+
+
 # ---- reports -------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Two regressors per horizon on Spark ML: boosted trees on single rows, a linear model on windows of rows."""
+"""Two regressors per horizon: Spark ML's boosted trees on single rows, a ridge regression on windows of rows."""
 
 from __future__ import annotations
 
@@ -7,25 +7,28 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxlake import schemas
-from fluxlake.operators.horizons import summarise_windows
+from fluxlake.operators.lagged import WindowRidge, fit_ridge, score_windows
 from fluxlake.operators.scoring import rmse
+from fluxlake.operators.trees import FlatTrees, best_round, round_errors
 from fluxlake.session import shared_dir, stage
 
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
+# Rounds without a gain after which boosting stops, and rounds that a fit begins with.
+PATIENCE = 20
+FIRST_ROUNDS = 32
 
 
 @dataclass
 class Fitted:
     """A fitted model with the setting that won and its validation error."""
 
-    model: GBTRegressionModel | PipelineModel
+    model: GBTRegressionModel | WindowRidge
     inputs: list[str]
     params: dict[str, float] = field(default_factory=dict)
     val_rmse: float = float("inf")
@@ -41,40 +44,60 @@ def _vector(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="inputs").transform(df)
 
 
-def _validation_rmse(model, rows: DataFrame) -> float:
-    return model.transform(rows.where("is_val")).agg(rmse("y", "prediction").alias("rmse")).first()["rmse"]
+def assemble(dataset: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """``(inputs, y, is_val)`` of the ``train`` and ``val`` rows, staged for many fits."""
+    rows = dataset.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+    return stage(_vector(rows, inputs).select("inputs", "y", "is_val"), "tree_rows")
+
+
+def boost(rows: DataFrame, rounds: int, depth: int, step: float, subsample: float, seed: int) -> GBTRegressionModel:
+    """Boosted trees on the ``train`` rows; with one seed, more rounds begin with the trees of fewer rounds."""
+    learner = GBTRegressor(
+        featuresCol="inputs", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed,
+    )
+    return learner.fit(rows.where("NOT is_val"))
+
+
+def _errors(rows: DataFrame, most: int, depth: int, step: float, subsample: float, patience: int, seed: int) -> list[float]:
+    """Validation error after every round, up to ``most`` rounds or ``patience`` rounds without a gain, whichever is first.
+
+    Spark ML's trees cannot be grown on, so the number of rounds is doubled until the rule has stopped: at most twice the work.
+    """
+    rounds = min(FIRST_ROUNDS, most)
+    while True:
+        errors = round_errors(FlatTrees.of(boost(rows, rounds, depth, step, subsample, seed)), rows.where("is_val"))
+        if rounds == most or best_round(errors, patience)[1]:
+            return errors
+        rounds = min(2 * rounds, most)
 
 
 def train_trees(
     dataset: DataFrame, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS),
-    grid: Mapping[str, Sequence[float]] = schemas.TREE_GRID, tolerance: float = 0.0, seed: int = 7,
+    grid: Mapping[str, Sequence[float]] = schemas.TREE_GRID, patience: int = PATIENCE, seed: int = 7,
 ) -> Fitted:
-    """Fit every setting on the ``train`` rows of one horizon and keep the best on its ``val`` rows.
+    """Search the whole grid on the ``train`` rows of one horizon and keep the best on its ``val`` rows.
 
-    Trees stop being added once the validation error no longer improves. Of equally good settings the
-    first wins. The assembled rows are staged once for all fits, which run a few at a time.
+    Boosting stops after ``patience`` rounds without a gain on the validation rows and the model is cut at its best round.
+    The first trees of a longer fit are those of a shorter one, so settings that differ in ``n_estimators`` only share a fit. Of
+    equally good settings the first wins. The assembled rows are staged once for all fits, which run a few at a time.
     """
     shared_dir(dataset.sparkSession)
-    rows = dataset.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
-    rows = stage(_vector(rows, inputs).select("inputs", "y", "is_val"), "tree_rows")
-
-    def fit(chosen: dict[str, float]):
-        trees = GBTRegressor(
-            featuresCol="inputs", labelCol="y", validationIndicatorCol="is_val", validationTol=tolerance, seed=seed,
-            maxIter=int(chosen["n_estimators"]), maxDepth=int(chosen["max_depth"]),
-            stepSize=float(chosen["learning_rate"]), subsamplingRate=float(chosen["subsample"]),
-        )
-        model = trees.fit(rows)
-        return model, _validation_rmse(model, rows)
-
+    rows = assemble(dataset, inputs)
     candidates = settings(grid)
+    family = lambda chosen: (int(chosen["max_depth"]), float(chosen["learning_rate"]), float(chosen["subsample"]))
+    most: dict[tuple, int] = {}
+    for chosen in candidates:
+        most[family(chosen)] = max(most.get(family(chosen), 0), int(chosen["n_estimators"]))
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        results = list(pool.map(fit, candidates))
-    best = Fitted(None, list(inputs))
-    for chosen, (model, error) in zip(candidates, results):
-        best.trials.append((chosen, error))
-        if best.model is None or error < best.val_rmse:
-            best.model, best.params, best.val_rmse = model, chosen, error
+        errors = dict(zip(most, pool.map(lambda one: _errors(rows, most[one], *one, patience, seed), most)))
+    best, rounds = Fitted(None, list(inputs)), 0
+    for chosen in candidates:
+        seen = errors[family(chosen)][:int(chosen["n_estimators"])]
+        at, _ = best_round(seen, patience)
+        best.trials.append((chosen, seen[at]))
+        if not rounds or seen[at] < best.val_rmse:
+            best.params, best.val_rmse, rounds = chosen, seen[at], at + 1
+    best.model = boost(rows, rounds, *family(best.params), seed)
     return best
 
 
@@ -90,30 +113,20 @@ def load_trees(path: str) -> GBTRegressionModel:
     return GBTRegressionModel.load(path)
 
 
-def window_inputs(inputs: Sequence[str]) -> list[str]:
-    return [name for c in inputs for name in (c, f"{c}__mean", f"{c}__change")]
-
-
 def train_windows(
-    dataset: DataFrame, length: int, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS),
-    regularisation: float = 0.01, elastic_net: float = 0.5,
-) -> Fitted:
-    """A linear model over the ``length`` latest rows of each row, summarised per input.
+    dataset: DataFrame, length: int, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS), regularisation: float = 0.01,
+) -> Fitted | None:
+    """A ridge regression on all ``length`` latest rows of each row; None if no ``train`` row has that many.
 
-    Summaries keep the volume at three numbers per input instead of ``length``; windows never cross
-    from one split into another. The normal equations are summed up in one pass over the rows.
+    Windows never cross from one split into another.
     """
-    columns = window_inputs(inputs)
-    both = dataset.where(F.col("split").isin("train", "val"))
-    windows = summarise_windows(both, length, inputs).withColumn("is_val", F.col("split") == "val")
-    rows = stage(_vector(windows, columns).select("inputs", "y", "is_val"), "window_rows")
-    learner = LinearRegression(
-        featuresCol="inputs", labelCol="y", regParam=regularisation, elasticNetParam=elastic_net, solver="normal"
-    )
-    model = Pipeline(stages=[learner]).fit(rows.where("NOT is_val"))
-    error = _validation_rmse(model, rows)
-    chosen = {"regularisation": regularisation, "elastic_net": elastic_net, "length": length}
-    return Fitted(model, list(inputs), chosen, error if error is not None else float("nan"))
+    model = fit_ridge(dataset.where("split = 'train'"), length, inputs, ridge=regularisation)
+    if model is None:
+        return None
+    fitted = Fitted(model, list(inputs), {"regularisation": regularisation, "length": length})
+    error = predict_windows(fitted, dataset.where("split = 'val'")).agg(rmse("y", "sequence_pred").alias("rmse")).first()["rmse"]
+    fitted.val_rmse = float("nan") if error is None else error
+    return fitted
 
 
 def predict_windows(
@@ -121,7 +134,4 @@ def predict_windows(
     name: str = "sequence_pred",
 ) -> DataFrame:
     """Forecasts for the rows with enough history in their group."""
-    length = int(fitted.params["length"])
-    windows = _vector(summarise_windows(rows, length, fitted.inputs, groups, idx), window_inputs(fitted.inputs))
-    extra = [c for c in window_inputs(fitted.inputs) if c not in rows.columns]
-    return fitted.model.transform(windows).withColumnRenamed("prediction", name).drop("inputs", *extra)
+    return score_windows(rows, {name: fitted.model}, fitted.inputs, groups, idx)

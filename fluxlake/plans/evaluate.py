@@ -12,8 +12,10 @@ from fluxlake import schemas
 from fluxlake.functions.guards import log_flux
 from fluxlake.functions.times import shift_time
 from fluxlake.operators.asof import asof_nearest
-from fluxlake.operators.learners import Fitted, predict_trees, predict_windows
+from fluxlake.operators.lagged import score_windows
+from fluxlake.operators.learners import Fitted
 from fluxlake.operators.scoring import best_alpha, blend_by_horizon, metric_struct, skill
+from fluxlake.operators.trees import FlatTrees, score_trees
 from fluxlake.session import stage
 
 MODELS = {"ensemble": "ensemble", "tree_only": "tree_pred", "sequence_only": "sequence_pred"}
@@ -49,19 +51,21 @@ def full_history(
 ) -> DataFrame:
     """Forecasts from every feature row with enough history, labelled with the time they are for.
 
-    A horizon without both models and a blend weight (too little history to train on) has none.
+    The rows are read once: all horizons' trees are scored side by side, and so are all their windows; models of a
+    kind share their inputs and window length. A horizon without
+    both models and a blend weight (too little history to train on) has none.
     """
-    parts = None
-    for horizon, steps in horizons.items():
-        if horizon not in trees or horizon not in windows or horizon not in alphas:
-            continue
-        rows = predict_trees(trees[horizon], indexed)
-        rows = predict_windows(windows[horizon], rows, groups=(), idx="row_idx")
-        rows = rows.select("ts", F.lit(horizon).alias("horizon"), F.lit(steps).cast("bigint").alias("steps"),
-                           "tree_pred", "sequence_pred", F.col(schemas.LOG_TARGET).alias("persistence_pred"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    if parts is None:
+    known = [h for h in horizons if h in trees and h in windows and h in alphas]
+    if not known:
         return indexed.sparkSession.createDataFrame([], schemas.PREDICTIONS)
+    first = known[0]
+    rows = score_trees(indexed, {f"tree_{h}": FlatTrees.of(trees[h].model) for h in known}, trees[first].inputs)
+    rows = score_windows(rows, {f"sequence_{h}": windows[h].model for h in known}, windows[first].inputs, (), "row_idx")
+    each = F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.lit(horizons[h]).cast("bigint").alias("steps"), F.col(f"tree_{h}").alias("tree_pred"), F.col(f"sequence_{h}").alias("sequence_pred"))
+        for h in known
+    ])
+    parts = rows.select("ts", F.col(schemas.LOG_TARGET).alias("persistence_pred"), F.inline(each))
     blended = blend_by_horizon(parts, alphas, "tree_pred", "sequence_pred", "model_pred")
     return to_valid_time(blended, cadence).select("valid_ts", "horizon", "model_pred", "persistence_pred")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxlake.operators import horizons, learners
+from fluxlake.operators import horizons, lagged, learners, trees as flat
 from fluxlake.operators.scoring import rmse
 from fluxlake.plans import evaluate, report
 
@@ -70,3 +70,64 @@ def test_too_little_history_gives_no_forecast(fitted, indexed):
     _, trees, windows = fitted
     none = evaluate.full_history(indexed.limit(5), {"A": trees}, {"A": windows}, {}, STEP, {"A": 9})
     assert none.isEmpty()
+
+
+def test_best_round_stops_after_patience():
+    assert flat.best_round([5, 4, 4, 3, 9, 9], 3) == (3, False)
+    assert flat.best_round([5, 4, 4, 6, 6, 1], 3) == (1, True)
+    assert flat.best_round([2, 2, 2], 2) == (0, True)
+
+
+def test_flat_trees_score_as_their_models(fitted, indexed):
+    data, trees, _ = fitted
+    rows = learners.assemble(data, INPUTS)
+    models = {f"p{n}": learners.boost(rows, n, 3, 0.3, 0.8, 5) for n in (2, 6)}
+    arrays = {name: flat.FlatTrees.of(model) for name, model in models.items()}
+    scored = flat.score_trees(data, arrays, INPUTS)
+    for name, model in models.items():
+        own = learners.predict_trees(learners.Fitted(model, INPUTS), scored, "own")
+        assert own.agg(F.max(F.abs(F.col("own") - F.col(name)))).first()[0] < 1e-12
+    # A longer fit begins with the trees of a shorter one, and one scan gives the error after every round.
+    assert (arrays["p6"].value[:len(arrays["p2"].value)] == arrays["p2"].value).all()
+    val = rows.where("is_val")
+    errors = flat.round_errors(arrays["p6"], val)
+    assert errors[1] == pytest.approx(models["p2"].transform(val).agg(rmse("y", "prediction")).first()[0])
+    assert errors[5] == pytest.approx(models["p6"].transform(val).agg(rmse("y", "prediction")).first()[0])
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_search_cuts_at_the_best_round(fitted):
+    data, trees, _ = fitted
+    val = learners.assemble(data, INPUTS).where("is_val")
+    errors = flat.round_errors(flat.FlatTrees.of(trees.model), val)
+    assert errors[-1] == pytest.approx(trees.val_rmse) == min(errors)
+    assert len(errors) <= trees.params["n_estimators"]
+
+
+@pytest.mark.parametrize("count, length, chunk_rows", [(60, 5, 7), (40, 5, 4096), (9, 5, 7), (5, 5, 100), (23, 1, 6), (300, 24, 32)])
+def test_window_ridge_equals_direct_fit(spark, count, length, chunk_rows):
+    rng = np.random.default_rng(count)
+    x = rng.normal(size=(count, 3)) * [1, 5, 0.2] + [3, 0, 1]
+    y = rng.normal(size=count) + x[:, 0]
+    frame = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in rng.permutation(count).tolist()], "i bigint, a double, b double, c double, y double")
+    model = lagged.fit_ridge(frame, length, ["a", "b", "c"], "y", "i", 0.01, chunk_rows)
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    flat_windows = np.array([scaled[t - np.arange(length)].ravel() for t in range(length - 1, count)])
+    centred, target = flat_windows - flat_windows.mean(axis=0), y[length - 1:]
+    weights = np.linalg.solve(centred.T @ centred + 0.01 * len(target) * np.eye(centred.shape[1]), centred.T @ (target - target.mean()))
+    got = lagged.score_windows(frame, {"p": model}, ["a", "b", "c"], (), "i", chunk_rows).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(length - 1, count))
+    assert np.allclose([r.p for r in got], target.mean() + centred @ weights, atol=1e-9)
+
+
+def test_too_short_series_has_no_window_model(spark):
+    frame = spark.createDataFrame([(i, 1.0, 2.0) for i in range(3)], "i bigint, a double, y double")
+    assert lagged.fit_ridge(frame, 4, ["a"], "y", "i") is None
+
+
+def test_history_reads_its_rows_once(fitted, indexed):
+    _, trees, windows = fitted
+    both = evaluate.full_history(indexed, {"A": trees, "B": trees}, {"A": windows, "B": windows}, {"A": 0.2, "B": 0.7}, STEP, {"A": 9, "B": 12})
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+    assert both.count() == 2 * (400 - 5)
