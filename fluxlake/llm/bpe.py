@@ -24,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from fluxlake.llm.common import documents, small_batches
+from fluxlake.llm.common import documents, give_back, small_batches
 
 # The byte-level alphabet's printable ranges and the pattern that splits text before the merges.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
@@ -199,12 +199,12 @@ class ChunkEncoder:
     ``encode_piece`` encodes a piece of the split pattern; ``added`` are token strings that are cut out of a text first.
     """
 
-    def __init__(self, encode_piece, added: dict[str, int]):
+    def __init__(self, encode_piece, added: dict[str, int], words_kept: int = WORDS_KEPT):
         self.encode_piece = encode_piece
         self.split = regex.compile(PATTERN).findall
         # By chunk; and in texts of plain words, by word, which stands for the word with a space in front.
         self.chunks = _Kept(self._chunk, CHUNKS_KEPT)
-        self.words = _Kept(self._word, WORDS_KEPT)
+        self.words = _Kept(self._word, words_kept)
         self.added = {text: self._bytes([number]) for text, number in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -256,8 +256,14 @@ class Codec:
 
     def __init__(self, automaton: Automaton):
         self.labels = automaton.labels
+        self.automaton = automaton
         self.encode = ChunkEncoder(lambda piece: automaton.path(piece.encode()), automaton.added)
 
+    def forget(self) -> None:
+        """Give back the words and the steps of the automaton that were remembered."""
+        self.encode.forget()
+        self.automaton.table.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text whose bytes the ids' labels spell."""
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -293,7 +299,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", frame["doc_id"].values)
             yield out
-        coder.encode.forget()
+        coder.forget()
+        give_back()
 
     small_batches(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
@@ -309,4 +316,5 @@ def default_tokenizer() -> str:
 
 
 def op1_bpe_encode(spark, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them; see ``encode_documents``."""
     return encode_documents(documents(spark, sf_dir), default_tokenizer())

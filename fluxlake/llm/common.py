@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 
 import numpy as np
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to its machine: workers are used again, and else each keeps the most it ever held."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # Another C library, which has no such call.
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents below ``sf_dir``, with the shared folder set up for staging."""
     settle(spark)

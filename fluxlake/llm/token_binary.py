@@ -27,6 +27,8 @@ from fluxlake.session import fresh_path
 BLOCK_IDS = 1 << 16
 SHARD_DOCUMENTS = 16_384
 END_ID = 0
+# Words that each generation of a worker's memory holds.
+WORDS_KEPT = 1 << 19
 
 
 def width(vocab_size: int) -> int:
@@ -74,7 +76,7 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, int]:
         model, table = tokenizer.model, {b: char[b] for b in range(256)}
         spelled = lambda piece: piece.encode().decode("latin-1").translate(table)
         added = {token.content: number for number, token in tokenizer.get_added_tokens_decoder().items()}
-        _WORKER[path] = ChunkEncoder(lambda piece: [token.id for token in model.tokenize(spelled(piece))], added), tokenizer.get_vocab_size()
+        _WORKER[path] = ChunkEncoder(lambda piece: [token.id for token in model.tokenize(spelled(piece))], added, WORDS_KEPT), tokenizer.get_vocab_size()
     return _WORKER[path]
 
 
@@ -161,6 +163,7 @@ def read_range(spark: SparkSession, folder: str, start: int, stop: int) -> np.nd
 
 
 def op8_token_binary(spark, sf_dir: str) -> DataFrame:
+    """Every document's place and ids' checksum, read back from the files that ``write_ids`` made."""
     docs = documents(spark, sf_dir)
     folder = fresh_path(spark, "token-ids")
     write_ids(docs, folder, default_tokenizer())
