@@ -102,7 +102,7 @@ def test_near_lines_share_a_segment(a, edits, most):
 
 
 def brute_lines(rows, most):
-    """Kept text per row of ``(id, text)``, ids distinct and not NULL, straight from the definition."""
+    """Kept text per row of ``(id, text)``, ids distinct and not NULL, straight from the definition; ``most`` None for the default edits."""
     first: dict = {}
     for i, t in sorted(rows):
         for p, line in enumerate((t or "").split("\n")):
@@ -113,9 +113,10 @@ def brute_lines(rows, most):
     longer = sorted((x for x in first if len(x) >= line_dedup.NEAR_CHARS), key=len)
     for k, a in enumerate(longer):
         for b in longer[k + 1:]:
-            if len(b) - len(a) > most:
+            allowed = line_dedup.edits_of(len(a), most)
+            if len(b) - len(a) > allowed:
                 break
-            if distance(a, b) <= most:
+            if distance(a, b) <= allowed:
                 near.add(max((first[a], a), (first[b], b))[1])
     out = {}
     for i, t in rows:
