@@ -231,6 +231,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """The row that stays for every document; see ``exact_dedup``."""
     return exact_dedup(documents(spark, sf_dir))
 
 

@@ -5,7 +5,8 @@ gets the narrowest encoding that its characters fit (hexadecimal, base32, letter
 its symbols are a uniform draw from that alphabet: chi-squared of the symbol counts, the number of runs above and below
 the alphabet's middle, and the serial correlation of neighbours. Ordinary words fail them as soon as they are long enough. What does
 not fail is weighed against ordinary text: the likelihood of its sequence of character kinds under the encoding over
-that under a chain fitted to all candidates. The inverse of this ratio bounds a p-value, and per length band the Benjamini-Hochberg
+that under a chain fitted to all text outside candidates and to the candidates that fail the battery, so that keys never explain
+themselves, however many there are. The inverse of this ratio bounds a p-value, and per length band the Benjamini-Hochberg
 rule keeps the share of false discoveries below ``ALPHA``: short strings need more evidence than the same share of long ones.
 """
 
@@ -151,31 +152,47 @@ def _kinds(token: Column) -> Column:
 _STEPS = [(i, j) for i in "ludo" for j in "ludo"]
 
 
-def evidence(tokens: DataFrame) -> DataFrame:
-    """``tokens(token, encoding, ..)`` with ``log_p``: log10 of the bound on the chance that ordinary text looks so random.
+def _kind_counts(kinds: Column) -> dict[str, Column]:
+    """How often each kind, and each kind after each, occurs. Pairs of two kinds can't overlap, so cutting them out counts them."""
+    cut = lambda x: (F.length(kinds) - F.length(F.replace(kinds, F.lit(x), F.lit("")))) / F.lit(len(x))
+    pairs = {f"n_{i}{j}": cut(i + j) if i != j else F.regexp_count(kinds, F.lit(f"{i}(?={i})")) for i, j in _STEPS}
+    return {name: value.cast("long") for name, value in {**{f"f_{i}": cut(i) for i in "ludo"}, **pairs}.items()}
 
-    The chain of character kinds is fitted to all tokens; 4 + 16 sums reach the driver.
+
+def _even() -> Column:
+    """Whether no test of the battery fails; normal quantiles of ``LEVEL``, one- and two-sided."""
+    return (F.col("z_symbols") <= 3.0902) & (F.abs("z_runs") <= 3.2905) & (F.abs("z_serial") <= 3.2905)
+
+
+def text_kinds(text: DataFrame) -> dict[str, int]:
+    """Counts of kinds and of pairs of kinds in all of ``text(text)``: 4 + 16 sums reach the driver."""
+    sums = text.select(_kinds(F.col("text")).alias("kinds")).agg(*[F.sum(c).alias(name) for name, c in _kind_counts(F.col("kinds")).items()]).first()
+    return {name: value or 0 for name, value in sums.asDict().items()}
+
+
+def evidence(tokens: DataFrame, text: dict[str, int]) -> DataFrame:
+    """``tokens(token, times, encoding, z_.., ..)`` with ``log_p``: log10 of the bound on the chance that ordinary text looks so random.
+
+    Ordinary text is all text, whose counts are ``text``, less the candidates that pass the battery.
     """
     kinds = tokens.withColumn("kinds", _kinds(F.col("token")))
-    counts = [F.regexp_count("kinds", F.lit(f"{i}(?={j})")).alias(f"n_{i}{j}") for i, j in _STEPS]
-    counted = stage(kinds.select("*", F.substring("kinds", 1, 1).alias("k_first"), *counts), "token-kinds")
-    sums = counted.agg(*[F.sum(f"n_{i}{j}").alias(f"n_{i}{j}") for i, j in _STEPS], *[F.count_if(F.col("k_first") == i).alias(f"f_{i}") for i in "ludo"]).first()
-    first = {i: (sums[f"f_{i}"] or 0) + 1 for i in "ludo"}
-    text = F.lit(0.0)
-    for i in "ludo":
-        text = text + F.when(F.col("k_first") == i, F.lit(math.log10(first[i] / sum(first.values())))).otherwise(0.0)
-        row = [(sums[f"n_{i}{j}"] or 0) + 1 for j in "ludo"]
-        for j, count in zip("ludo", row):
-            text = text + F.col(f"n_{i}{j}") * F.lit(math.log10(count / sum(row)))
-    drawn = F.lit(0.0)
-    for kind in "ludo":
+    counted = stage(kinds.select("*", F.substring("kinds", 1, 1).alias("k_first"), *[c.alias(name) for name, c in _kind_counts(F.col("kinds")).items()]), "token-kinds")
+    passing = counted.where(_even()).agg(*[F.sum(F.col(name) * F.col("times")).alias(name) for name in text]).first()
+    null = {name: max(0, value - (passing[name] or 0)) + 1 for name, value in text.items()}
+    # Marks part a token like words of a path: each part between them is weighed on its own, and the marks are not.
+    ordinary, drawn = F.lit(0.0), F.lit(0.0)
+    for i in "lud":
+        begins = F.col(f"n_o{i}") + (F.col("k_first") == i).cast("int")
+        ordinary = ordinary + begins * F.lit(math.log10(null[f"f_{i}"] / sum(null[f"f_{k}"] for k in "lud")))
+        for j in "lud":
+            ordinary = ordinary + F.col(f"n_{i}{j}") * F.lit(math.log10(null[f"n_{i}{j}"] / sum(null[f"n_{i}{k}"] for k in "lud")))
         share = None
         for name, _, alphabet in ENCODINGS:
-            some = sum(kind_of(c) == kind for c in alphabet) / len(alphabet)
+            some = sum(kind_of(c) == i for c in alphabet) / sum(kind_of(c) != "o" for c in alphabet)
             value = F.lit(math.log10(some) if some else 0.0)
             share = F.when(F.col("encoding") == name, value) if share is None else share.when(F.col("encoding") == name, value)
-        drawn = drawn + share * (F.length("kinds") - F.length(F.replace("kinds", F.lit(kind), F.lit(""))))
-    return counted.select(*tokens.columns, F.least(F.lit(0.0), text - drawn).alias("log_p"))
+        drawn = drawn + share * F.col(f"f_{i}")
+    return counted.select(*tokens.columns, F.least(F.lit(0.0), ordinary - drawn).alias("log_p"))
 
 
 def discoveries(tokens: DataFrame) -> DataFrame:
@@ -187,9 +204,7 @@ def discoveries(tokens: DataFrame) -> DataFrame:
     for low in BANDS[1:]:
         band = band + (F.col("size") >= low).cast("int")
     steps = F.greatest(F.ceil(F.col("log_p") * P_STEPS), F.lit(-P_STEPS * P_LOWEST))
-    # Normal quantiles of LEVEL, one- and two-sided.
-    even = (F.col("z_symbols") <= 3.0902) & (F.abs("z_runs") <= 3.2905) & (F.abs("z_serial") <= 3.2905)
-    tested = stage(tokens.select("*", band.alias("band"), F.when(even, steps).otherwise(F.lit(0)).cast("int").alias("p_step")), "tested-tokens")
+    tested = stage(tokens.select("*", band.alias("band"), F.when(_even(), steps).otherwise(F.lit(0)).cast("int").alias("p_step")), "tested-tokens")
     tally: dict[int, dict[int, int]] = {}
     for row in tested.groupBy("band", "p_step").count().collect():
         tally.setdefault(row["band"], {})[row["p_step"]] = row["count"]
@@ -226,7 +241,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     places = found.select("row_key", F.explode("candidates").alias("c")).select("row_key", "c.*")
     tokens = stage(places.groupBy("token").agg(F.count(F.lit(1)).alias("times")), "tokens")
     total = tokens.agg(F.sum("times")).first()[0] or 0
-    secret = stage(discoveries(evidence(battery(tokens))).select("token", "times"), "secret-tokens")
+    kinds = text_kinds(docs.select(text.alias("text")))
+    secret = stage(discoveries(evidence(battery(tokens), kinds)).select("token", "times"), "secret-tokens")
     random = hot_join(places, secret, "token", "times", total).groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("random"))
     base = F.sort_array(F.concat("base0", "base1", "base2"))
     both = found.select("doc_id", "row_key", *[F.size(f"base{r}").cast("long").alias(n) for r, n in enumerate(("n_assign", "n_access", "n_hex"))], base.alias("base")).join(random, "row_key", "left")
@@ -236,6 +252,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Base spans and random strings of every document; see ``scan``."""
     names = F.array(*[F.lit(name) for name, *_ in BASE], F.lit("random"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     more = F.transform("random", lambda r: F.struct(r["start"].alias("start"), F.lit(len(BASE)).alias("rank"), r["stop"].alias("stop")))
