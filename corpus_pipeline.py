@@ -13,37 +13,51 @@ from fluxlake.llm import bpe, language, line_dedup, simhash, source_mix
 from fluxlake.llm.common import documents
 from fluxlake.session import stage
 
-# A text of which no language's classifier says more than "three quarters no" is in none of the languages.
-LEAST_SCORE = 0.25
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``docs`` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter and some language; the identifier learns from the training rows among them."""
+    """Rows whose text is in a learned language; the identifier learns from the training rows among them.
+
+    NULL texts and those without a letter go, as do those whose score is below what nearly all labelled rows reach; with no
+    labelled rows all go. Repeated rows are judged alike; an empty table stays empty; columns may have any names.
+    """
     model = language.fit(language.training_rows(docs))
-    found = language.identify(docs, model)
-    known = (F.col("language_found.lang") != language.UNKNOWN) & (F.col("language_found.score") >= LEAST_SCORE)
-    return found.where(known).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "doc_id", "text", "lang")
+    found = stage(language.identify(whole, model).drop("text"), "language")
+    known = (F.col("language_found.lang") != language.UNKNOWN) & (F.col("language_found.score") >= language.least_score(found))
+    return found.where(known).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without their repeated lines; those of which no line with a word is left go. Near is one edit here: its test says so."""
-    done = line_dedup.dedup_lines(docs, max_edits=1)
-    gone = (F.col("line_dedup.n_lines") > 0) & (F.col("line_dedup.n_exact") + F.col("line_dedup.n_near") == F.col("line_dedup.n_lines"))
-    return done.where(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Rows without their repeated lines; those of which no line with a word is left go.
+
+    NULL texts and those without a word stay as they are. Rows that repeat id and text keep the same lines; an empty table stays
+    empty; columns may have any names.
+    """
+    report = free_name(docs, "line_dedup")
+    done = line_dedup.dedup_lines(docs, report=report)
+    gone = (F.col(f"{report}.n_lines") > 0) & (F.col(f"{report}.n_exact") + F.col(f"{report}.n_near") == F.col(f"{report}.n_lines"))
+    return done.where(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id."""
+    """One row of each group of near-duplicates: the one with the smallest id. NULL and wordless texts are alike; an empty table stays empty."""
     return simhash.keep_first(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them, in its order."""
+    """Rows as often as the mix of sources takes them, in its order; rows without a word are not taken. A NULL source is a source."""
     return source_mix.mixed_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the token ids of every row, and digest of the text decoded from them."""
+    """Number and digest of the token ids of every row, and digest of the text decoded from them; NULL texts have none."""
     return bpe.encode_documents(docs, bpe.default_tokenizer())
 
 
