@@ -263,6 +263,17 @@ JOIN pz USING (horizon) JOIN pc USING (horizon) JOIN st1 USING (horizon) JOIN st
 """
 
 
+# What a stream has seen: in its last third a record of the first one may come at most six hours after the latest of that. A bin closes six hours after its end.
+CTES["sin"] = """
+SELECT ts, round(value * 100) AS value FROM events UNION ALL SELECT ts, round(value * 100) + 1000 FROM events, (SELECT max(event_id) // 3 AS third FROM events)
+WHERE event_id <= third AND event_id % 50 = 1 AND epoch_ms(ts) * 1000 + 0 > (SELECT epoch_ms(max(ts)) - 21600000 FROM events WHERE event_id <= (SELECT max(event_id) // 3 FROM events)) * 1000
+"""
+CTES["sbin"] = """
+SELECT epoch_us(ts) // w AS n, avg(value) AS v FROM sin, cfg GROUP BY 1
+HAVING (epoch_us(min(ts)) // any_value(w) + 1) * any_value(w) <= (SELECT (epoch_ms(max(ts)) - 21600000) * 1000 FROM events)
+"""
+
+
 def _nearest(left: str, ts: str) -> str:
     """A backward and a forward as-of join; the closer one wins, the earlier on a tie."""
     return f"""
@@ -338,6 +349,9 @@ _FINAL = {
         SELECT ts, {_r("CASE WHEN event_id % 97 <> 0 THEN sqrt((value - 50) * (value - 50) + value / 2 * (value / 2) + power(event_id % 7, 2)) END", "solar_wind_speed")},
                {_r("CASE WHEN raw > 0 THEN raw / 10 END", "plasma_density")}, source_file, event_id AS ordinal FROM dmg""",
     "scan_directory": f"SELECT ts, {_r('electron_flux')}, source_file, ordinal FROM hfl",
+    "skipped_files": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 5 = 0",
+    "stream_bins": f"""SELECT make_timestamp(spine.n * w) AS ts, {_r('v', 'value')} FROM
+        (SELECT unnest(generate_series((SELECT min(n) FROM sbin), (SELECT max(n) FROM sbin))) AS n) spine CROSS JOIN cfg LEFT JOIN sbin ON sbin.n = spine.n""",
     "resolve_column": f"""SELECT ts, {_r('electron_flux')}, source_file, ordinal,
         CASE WHEN user_id % 2 = 0 THEN 'E2W_COR_FLUX' ELSE 'e2_flux' END AS resolved FROM flx""",
     "scan_archive": f"SELECT ts, {_r('CASE WHEN value > 0 THEN value END', 'electron_flux')} FROM events",

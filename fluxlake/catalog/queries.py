@@ -24,11 +24,15 @@ from fluxlake.plans.features import DELTAS
 from fluxlake.plans.prepare import clean_series
 from fluxlake.session import fresh_path, stage
 from fluxlake.sources import archives, profile, records, tables, text_layouts
+from fluxlake.streaming.resample import drain, stream_resample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+STREAM_LATENESS = timedelta(hours=6)
+
+
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return comparable(function(spark, sf_dir))
@@ -75,6 +79,36 @@ def scan_directory(spark, sf_dir):
     return records.read_directory(spark, path).select("ts", "electron_flux", "source_file", "ordinal")
 
 
+@query
+def skipped_files(spark, sf_dir):
+    """A folder with a file for every day, of which each fifth holds plain text: the days that are passed over."""
+    path, number = fresh_path(spark, "days"), F.datediff(F.col("day"), F.lit("2024-01-01"))
+    rows = b.events(spark, sf_dir).withColumn("day", F.col("ts").cast("date")).repartition("day")
+    rows.where(number % 5 != 0).write.partitionBy("day").parquet(path)
+    rows.where(number % 5 == 0).select("day", F.col("event_id").cast("string").alias("line")).write.mode("append").partitionBy("day").text(path)
+    found = records.skipped_files(spark, path, "part-*")
+    return found.select(F.regexp_extract("source_file", "day=([0-9-]+)", 1).alias("day")).distinct()
+
+
+@query
+def stream_bins(spark, sf_dir):
+    """Records that arrive in three batches, some of them twice and some late: the bins that a stream closes, with the empty ones between.
+
+    A batch drops what is late by the watermark that the batch before it began with, so the last one drops by the first one's records.
+    """
+    # Whole numbers, whose sums do not depend on the order in which state adds them up.
+    folder, rows = fresh_path(spark, "arriving"), b.events(spark, sf_dir).select("event_id", "ts", F.round(F.col("value") * 100).alias("value"))
+    third = rows.agg((F.max("event_id") / 3).cast("bigint").alias("third")).first()["third"]
+    first, second = rows.where(F.col("event_id") <= third), rows.where((F.col("event_id") > third) & (F.col("event_id") <= 2 * third))
+    again = first.where("event_id % 7 = 0")
+    late = first.where("event_id % 50 = 1").select((-F.col("event_id")).alias("event_id"), "ts", (F.col("value") + 1000).alias("value"))
+    for batch in (first.unionByName(again), second, rows.where(F.col("event_id") > 2 * third).unionByName(late)):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    bins, _ = drain(stream_resample(arriving, ["value"], b.CADENCE, STREAM_LATENESS, unique=["event_id"]), "bins")
+    return resample.resample_mean(bins, ["value"], b.CADENCE)
+
+
 @query
 def resolve_column(spark, sf_dir):
     rows = b.events(spark, sf_dir)

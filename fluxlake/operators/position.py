@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import micros_of, to_micros, whole_div
+from fluxlake.operators.scan import carried
+from fluxlake.session import stage
 
 BUCKET_BINS = 262_144
 CHUNK_ROWS = 4_096
@@ -31,19 +33,14 @@ def with_row_index(
     """Add the 0-based position of each row in time order, per key.
 
     ``ts`` must be unique per key with stamps on a grid of ``cadence``, so that a bucket holds at most
-    ``bucket_bins`` rows whatever the data looks like. The running sum over bucket counts is the only
-    step that sees a whole series, at one row per bucket: 30 years of seconds are 3,600 rows.
+    ``bucket_bins`` rows whatever the data looks like. Bucket counts are summed up by a scan in levels, in
+    which no task sees more than a fan-out of buckets. Counts are exact up to 2**53 rows.
     ``df`` is read twice: pass a staged table when it is costly to compute.
     """
     width = micros_of(cadence) * bucket_bins
     bucketed = df.withColumn("_bucket", whole_div(to_micros(ts), width))
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
-    )
+    counts = stage(bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows")).withColumn("_one", F.lit(1)), "bucket_counts")
+    offsets = carried(counts, {"_offset": ("_one", "_rows")}, "_bucket", keys).withColumn("_offset", F.col("_offset").cast("bigint"))
     within = W.partitionBy(*keys, "_bucket").orderBy(ts)
     return (
         bucketed.join(offsets, [*keys, "_bucket"])

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from fluxlake import schemas
 from fluxlake.functions.times import whole_div
 from fluxlake.operators.position import BUCKET_BINS, CHUNK_ROWS, over_chunks
+from fluxlake.operators.scan import carried
 from fluxlake.session import stage
 
 EMA_BLOCK = 512
@@ -141,28 +141,29 @@ def interpolate_gaps(
 def null_runs(df: DataFrame, column: str, keys: Sequence[str] = (), idx: str = "row_idx", chunk_rows: int = BUCKET_BINS) -> DataFrame:
     """Every maximal run of NULLs as ``(keys.., first_idx, last_idx, run_length)``, of any length.
 
-    Runs are found per chunk; pieces that touch across a chunk border are joined afterwards in a table
-    that holds at most two rows per chunk, never the series.
+    Runs are found per chunk. How long a run was when a chunk began is a carry that a chunk of NULLs alone goes on with and any other
+    sets anew; it is scanned in levels. A run is given out where it ends.
     """
     chunked = df.select(*keys, idx, F.col(column).isNull().alias("gap")).withColumn("_chunk", whole_div(F.col(idx), chunk_rows))
     running = W.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
     islands = chunked.withColumn("_island", F.count_if(~F.col("gap")).over(running)).where("gap")
     pieces = islands.groupBy(*keys, "_chunk", "_island").agg(F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"))
-    # A piece can only continue one that ends right before its chunk; group pieces by the run's start.
-    touches_start = F.col("first_idx") == F.col("_chunk") * chunk_rows
-    touches_end = F.col("last_idx") == (F.col("_chunk") + 1) * chunk_rows - 1
-    inner = pieces.where(~touches_start & ~touches_end)
-    border = pieces.where(touches_start | touches_end)
-    chain = W.partitionBy(*(keys or [F.lit(0)])).orderBy("first_idx")
-    starts = F.coalesce(F.col("first_idx") != F.lag("last_idx").over(chain) + 1, F.lit(True))
-    joined = (
-        border.withColumn("_start", starts)
-        .withColumn("_run", F.count_if("_start").over(chain.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*keys, "_run")
-        .agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"))
+    begins = F.col("first_idx") == F.col("_chunk") * chunk_rows
+    goes_on = F.col("last_idx") == (F.col("_chunk") + 1) * chunk_rows - 1
+    pieces = stage(pieces.select(*keys, "_chunk", "first_idx", "last_idx", begins.alias("_begins"), goes_on.alias("_goes_on")), "null_pieces")
+    open_ends = pieces.where("_goes_on").select(
+        *keys, "_chunk", F.col("_begins").cast("int").alias("_keeps"), (F.col("last_idx") - F.col("first_idx") + 1).alias("_adds"),
     )
-    runs = inner.select(*keys, "first_idx", "last_idx").unionByName(joined.select(*keys, "first_idx", "last_idx"))
-    return runs.withColumn("run_length", F.col("last_idx") - F.col("first_idx") + 1)
+    # A chunk behind one without an open run starts from nothing; it needs an element so that its own is not reached by an older run.
+    chunks = stage(
+        chunked.select(*keys, "_chunk").distinct().join(open_ends, [*keys, "_chunk"], "left").na.fill(0, ["_keeps", "_adds"]), "null_chunks"
+    )
+    before = carried(chunks, {"_before": ("_keeps", "_adds")}, "_chunk", keys)
+    continued = pieces.where("_begins").select(*keys, (F.col("_chunk") - 1).alias("_chunk"), F.lit(True).alias("_continued"))
+    last = pieces.join(continued, [*keys, "_chunk"], "left").where(~(F.col("_goes_on") & F.coalesce("_continued", F.lit(False))))
+    whole = last.join(before, [*keys, "_chunk"])
+    first = F.col("first_idx") - F.when(F.col("_begins"), F.col("_before").cast("bigint")).otherwise(F.lit(0))
+    return whole.select(*keys, first.alias("first_idx"), "last_idx", (F.col("last_idx") - first + 1).alias("run_length"))
 
 
 # ---- lags, differences, rolling statistics ---------------------------------------------------------
@@ -215,45 +216,11 @@ def ema_decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def _folded(ends: str, decay: float) -> Column:
-    return F.aggregate(F.col(ends), F.lit(0.0), lambda value, end: value * F.lit(decay) + end)
-
-
 def _starts(ends: DataFrame, spans: Sequence[int], keys: Sequence[str]) -> DataFrame:
-    """``(keys.., _block, _start_<span>..)``: the average that each block starts from, given what each adds by its end.
-
-    Blocks are folded over groups of ``EMA_BLOCK`` blocks in parallel, then the groups of a key one after another: one
-    row per 262,144 rows of the series is what a task sees of a whole key.
-    """
-    ends = ends.withColumn("_group", whole_div(F.col("_block"), EMA_BLOCK))
-    place = F.pmod(F.col("_block"), F.lit(EMA_BLOCK))
-    in_group = W.partitionBy(*keys, "_group").orderBy("_block")
-    before = in_group.rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.withColumns({f"_before_{s}": F.collect_list(f"_end_{s}").over(before) for s in spans})
-    whole = {s: ema_decay(s) ** EMA_BLOCK for s in spans}
-    ends = ends.withColumns({f"_inner_{s}": _folded(f"_before_{s}", whole[s]) for s in spans})
-    last = F.max("_block").over(W.partitionBy(*keys, "_group"))
-    groups = ends.withColumn("_last", last).where("_block = _last").select(
-        *keys, "_group", *[(F.col(f"_inner_{s}") * F.lit(whole[s]) + F.col(f"_end_{s}")).alias(f"_sum_{s}") for s in spans]
-    )
-
-    def carry(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_group", ignore_index=True)
-        for s in spans:
-            decay, value, out = whole[s] ** EMA_BLOCK, 0.0, []
-            for total in frame[f"_sum_{s}"]:
-                out.append(value)
-                value = value * decay + total
-            frame[f"_outer_{s}"] = out
-        return frame.drop(columns=["_all", *[f"_sum_{s}" for s in spans]])
-
-    names = [f"{f.name} {f.dataType.simpleString()}" for f in groups.schema if f.name in keys]
-    schema = ", ".join([*names, "_group bigint", *[f"_outer_{s} double" for s in spans]])
-    outer = groups.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInPandas(carry, schema)
-    joined = ends.join(outer, [*keys, "_group"])
-    return joined.select(
-        *keys, "_block", *[(F.col(f"_inner_{s}") + F.pow(F.lit(whole[s]), place) * F.col(f"_outer_{s}")).alias(f"_start_{s}") for s in spans]
-    )
+    """``(keys.., _block, _start_<span>..)``: the average that each block starts from, given what each adds by its end."""
+    steps = {f"_start_{s}": (f"_decay_{s}", f"_end_{s}") for s in spans}
+    ends = ends.withColumns({f"_decay_{s}": F.lit(ema_decay(s) ** EMA_BLOCK) for s in spans})
+    return carried(stage(ends, "ema_ends"), steps, "_block", keys)
 
 
 def ema_features(
