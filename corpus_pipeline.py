@@ -28,10 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labelled rows all go. Repeated rows are judged alike; an empty table stays empty; columns may have any names.
     """
     model = language.fit(language.training_rows(docs))
-    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    found = stage(language.identify(whole, model).drop("text"), "language")
-    known = (F.col("language_found.lang") != language.UNKNOWN) & (F.col("language_found.score") >= language.least_score(found))
-    return found.where(known).select("row.*")
+    labelled = language.training_rows(docs.select("doc_id", "text", "lang")).where("lang IS NOT NULL")
+    least = language.least_score(language.identify(labelled, model))
+    found = language.identify(docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "text"), model)
+    return found.where((F.col("language_found.lang") != language.UNKNOWN) & (F.col("language_found.score") >= least)).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
