@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fluxlake.functions import quantiles
 from fluxlake.functions.quantiles import exact_quantiles
 from fluxlake.operators import resample, scoring, windows
 from fluxlake.operators.keyed import attach, attach_salted
@@ -183,6 +184,31 @@ def test_quantiles_of_odd_values(spark, values, want):
     assert [row.q_0, row.q_1, row.q_2] == want
 
 
+def test_quantiles_are_exact_when_few_values_are_ordered_at_once(spark):
+    """One hot key with far more values in a bracket than may be ordered: they are narrowed slice by slice, ties among them."""
+    rng = np.random.default_rng(21)
+    frame = pd.DataFrame({"k": np.where(rng.random(60_000) < 0.9, "hot", "cold"), "wide": np.exp(rng.normal(size=60_000) * 20), "ties": rng.integers(0, 40, 60_000) / 7})
+    probabilities = [0.0, 0.25, 0.5, 0.99, 1.0]
+    for row in exact_quantiles(spark.createDataFrame(frame), ["wide", "ties"], probabilities, ["k"], ordered=8).collect():
+        want = np.quantile(frame.loc[frame.k == row.k, row["name"]], probabilities)
+        np.testing.assert_allclose([row[f"q_{i}"] for i in range(5)], want, rtol=1e-12)
+
+
+def test_narrowing_leaves_few_values_and_counts_what_is_below(spark):
+    held = spark.range(50_000).select(F.lit("x").alias("name"), F.lit(0).alias("slot"), (F.col("id") * 2.0).alias("inside"), (F.col("id") % 3 + 1).alias("c"))
+    wanted = spark.createDataFrame([("x", 0, 70_000.5, 10)], "name string, slot int, position double, below bigint")
+    got, ranks = quantiles._narrowed(held, wanted, ["name", "slot"], 16)
+    kept, row = sorted(got.collect(), key=lambda r: r.inside), ranks.first()
+    assert 2 <= len(kept) <= 16
+    before = held.where(F.col("inside") < kept[0].inside).agg(F.sum("c")).first()[0]
+    assert row.below == 10 + before and row.below <= 70_000 < 70_001 < row.below + sum(r.c for r in kept)
+
+
+def test_quantiles_leave_rows_without_a_key_out(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 9.0)], "k string, x double")
+    assert [(r.k, r.q_0) for r in exact_quantiles(df, ["x"], [0.5], ["k"]).collect()] == [("a", 2.0)]
+
+
 def test_quantiles_of_one_huge_group_and_of_none(spark):
     df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("double").alias("x"))
     row = exact_quantiles(df, ["x"], [0.25, 0.5]).first()
