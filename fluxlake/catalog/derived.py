@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARCHIVE_EVENTS = 2_000
+FOLDER_EVENTS = 500
 FILL = -1e31
+# Archives end with a comment of one line end, which is what the text writer puts behind a row.
+LINE_END = b"\n"
 
 # Sent along with the tasks, so that workers do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,6 +114,7 @@ def _zipped(group: pd.DataFrame, damaged: int = 0) -> pd.DataFrame:
         archive.writestr("FLUX.TXT", "# year doy hour minute second flux\n" + "\n".join(group["line"]) + "\n")
         archive.writestr("meta.xml", document)
         archive.writestr("plot.PNG", b"\x89PNG", zipfile.ZIP_STORED)
+        archive.comment = LINE_END
     content = packed.getvalue()
     if damaged and int(name[1:]) % damaged == 0:
         # One byte of the last member's data, which its checksum then no longer fits.
@@ -118,11 +122,23 @@ def _zipped(group: pd.DataFrame, damaged: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"path": [f"/archives/{name}.zip"], "content": [content]})
 
 
-def archives(events: DataFrame, damaged: int = 0) -> DataFrame:
+def archives(events: DataFrame, damaged: int = 0, size: int = ARCHIVE_EVENTS) -> DataFrame:
     """The events packed into ZIP files of a bounded number of consecutive records each.
 
     With ``damaged``, every so manieth archive, from the first on, holds a member that fails its checksum.
     """
-    number = F.call_function("div", F.col("event_id"), F.lit(ARCHIVE_EVENTS))
+    number = F.call_function("div", F.col("event_id"), F.lit(size))
     lines = events.select("event_id", F.concat(F.lit("a"), F.lpad(number.cast("string"), 9, "0")).alias("archive"), line_a().alias("line"))
     return lines.groupBy("archive").applyInPandas(lambda group: _zipped(group, damaged), "path string, content binary")
+
+
+def write_archive_folder(events: DataFrame, path: str, damaged: int, strange: int) -> None:
+    """The archives as files in a folder laid out as ``archive=..``, and a text file that is no archive for every so manieth."""
+    packed = archives(events, damaged, FOLDER_EVENTS).select(
+        F.substring_index("path", "/", -1).alias("archive"), F.expr("substring(content, 1, length(content) - 1)").cast("string").alias("value")
+    )
+    number = F.call_function("div", F.col("event_id"), F.lit(FOLDER_EVENTS))
+    others = events.select(number.alias("number")).where(F.col("number") % strange == 0).distinct().select(
+        F.concat(F.lit("x"), F.col("number").cast("string"), F.lit(".zip")).alias("archive"), F.lit("no archive").alias("value")
+    )
+    packed.unionByName(others).write.partitionBy("archive").text(path)

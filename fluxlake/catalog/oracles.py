@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from fluxlake import schemas as s
-from fluxlake.catalog.derived import ARCHIVE_EVENTS
+from fluxlake.catalog.derived import ARCHIVE_EVENTS, FOLDER_EVENTS
 
 D = s.DRIVERS
 GRID = s.GRID_COLUMNS
@@ -375,6 +375,12 @@ _FINAL = {
     "archives_with_damage": f"SELECT ts, {_r('CASE WHEN value > 0 THEN value END', 'electron_flux')} FROM events WHERE event_id // {ARCHIVE_EVENTS} % 7 <> 0",
     "skipped_archives": f"""SELECT DISTINCT 'a' || lpad(CAST(event_id // {ARCHIVE_EVENTS} AS VARCHAR), 9, '0') || '.zip' AS archive, 'BadZipFile' AS reason
         FROM events WHERE event_id // {ARCHIVE_EVENTS} % 7 = 0""",
+    "archive_folder": f"SELECT ts, {_r('CASE WHEN value > 0 THEN value END', 'electron_flux')} FROM events WHERE event_id // {FOLDER_EVENTS} % 7 <> 0",
+    "archive_folder_report": f"""
+        WITH a AS (SELECT event_id // {FOLDER_EVENTS} AS k, count(*) AS n FROM events GROUP BY 1)
+        SELECT 'a' || lpad(CAST(k AS VARCHAR), 9, '0') || '.zip' AS archive, CASE WHEN k % 7 = 0 THEN 0 ELSE n + 1 END AS n_lines,
+               CASE WHEN k % 7 = 0 THEN 'BadZipFile' END AS reason FROM a
+        UNION ALL SELECT 'x' || k || '.zip', 0, 'BadZipFile' FROM a WHERE k % 5 = 0""",
     "rejected_lines": """SELECT 'events' AS archive, 'odd.txt' AS member, event_id AS line_no, 'value ' || event_id AS line
         FROM events WHERE event_id % 3 = 1 AND event_id < (SELECT min(event_id) FROM events WHERE event_id % 3 = 1) + 5""",
     "optional_source": f"SELECT ts, {_r('electron_flux')} FROM truth",

@@ -151,6 +151,28 @@ def skipped_archives(spark, sf_dir):
     return archives.skipped_archives(members).select("archive", F.substring_index("reason", ":", 1).alias("reason"))
 
 
+def _archive_folder(spark, sf_dir) -> str:
+    path = fresh_path(spark, "archive_folder")
+    derived.write_archive_folder(b.events(spark, sf_dir), path, damaged=7, strange=5)
+    return path
+
+
+@query
+def archive_folder(spark, sf_dir):
+    """A folder of archives on disk, some damaged and some files no archives, as one signal."""
+    return archives.scan_archives(spark, _archive_folder(spark, sf_dir), "part-*")
+
+
+@query
+def archive_folder_report(spark, sf_dir):
+    """Every file of the folder with its number of lines, or why it was skipped."""
+    members = archives.expand_archives(archives.list_archives(spark, _archive_folder(spark, sf_dir), "part-*"), ("txt",))
+    read = F.col("kind") == "txt"
+    return members.groupBy("archive").agg(
+        F.count_if(read).alias("n_lines"), F.max(F.when(~read, F.substring_index("line", ":", 1))).alias("reason")
+    )
+
+
 @query
 def rejected_lines(spark, sf_dir):
     """Every file has data lines that fit; a fourth one of other words has none."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tracemalloc
+import warnings
 import zipfile
 from datetime import datetime, timedelta
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +129,75 @@ def test_a_damaged_archive_goes_whole_and_is_reported(spark, tmp_path):
     assert set(skipped) == {"bad.zip", "none.zip"} and "CRC" in skipped["bad.zip"]
 
 
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_members_are_unpacked_as_streams(method):
+    """Contents far larger than a chunk, in every way of packing, empty ones too; no chunk of a deflated member is large."""
+    content = {"a.txt": b"".join(b"%d 1.5 \xc3\xa9\n" % i for i in range(60_000)), "none.txt": b"", "zeros.bin": b"\0" * 3_000_000, "cut.txt": b"x\r\ny"}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", method) as z:
+        for name, data in content.items():
+            z.writestr(name, data)
+    rows = list(archives._directory("m.zip", packed.getvalue()))
+    assert [r[1] for r in rows] == list(content)
+    for _, member, _, _, way, crc, size, data, reason in rows:
+        chunks = list(archives._unpacked(data, way))
+        assert b"".join(chunks) == content[member] and reason is None and archives._damage(member, data, way, crc, size) is None
+        if method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            assert max(map(len, chunks), default=0) <= archives.CHUNK_BYTES
+        assert archives._damage(member, data, way, crc ^ 1, size).startswith("BadZipFile: Bad CRC")
+        if member == "a.txt":
+            assert archives._damage(member, data[:-2000], way, crc, size) is not None
+            assert list(archives._lines(data, way)) == content[member].decode().splitlines()
+        if member == "cut.txt":
+            assert list(archives._lines(data, way)) == ["x", "y"]
+
+
+def _tree_fields(path, element):
+    """The same fields by walking a whole tree."""
+    text = (element.text or "").strip()
+    own = [(path, text)] if text else []
+    return own + [(f"{path}@{n}", v) for n, v in element.attrib.items()] + [f for child in element for f in _tree_fields(f"{path}/{child.tag}", child)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_xml_fields_as_a_stream_equal_those_of_the_tree(size):
+    document = b'<?xml version="1.0"?><r a="1" b="&lt;"> t<!-- c --> u <x:e xmlns:x="urn:n" x:k="v">1<i/>tail</x:e>more<e> </e><e>\xc3\xa9 &amp; 2</e></r>'
+    cut = lambda data: (lambda: (data[i:i + size] for i in range(0, len(data), size)))
+    root = ElementTree.fromstring(document)
+    assert list(archives.xml_fields(cut(document))) == _tree_fields(root.tag, root)
+    for bad in (document[:-3], b"", b"plain", document + b"<z/>"):
+        assert list(archives.xml_fields(cut(bad))) == []
+
+
+def test_a_large_xml_member_takes_little_memory():
+    record = b"<p><v>12345</v></p>" * 1000
+
+    def read():
+        yield b"<all>"
+        for _ in range(200):
+            yield record
+        yield b"</all>"
+
+    tracemalloc.start()
+    count = sum(1 for _ in archives.xml_fields(read))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 200_000 and peak < 2_000_000
+
+
+def test_members_of_the_same_name_are_kept_apart_and_dealt_to_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        for i in range(40):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                z.writestr("day.txt", f"2020 1 0 {i} 0 {i + 1}\n")
+    listed = archives.list_archives(spark, str(tmp_path))
+    members = archives.archive_members(listed)
+    assert members.count() == 40
+    lines = archives.expand_archives(listed, ("txt",)).collect()
+    assert sorted((r.member_no, r.line) for r in lines) == [(i, f"2020 1 0 {i} 0 {i + 1}") for i in range(40)]
+
+
 def test_skipped_files_are_listed(spark, tmp_path):
     spark.createDataFrame([(T0, 1.0)], "ts timestamp_ntz, e2_flux double").coalesce(1).write.parquet(str(tmp_path / "in"))
     (tmp_path / "in" / "broken.parquet").write_bytes(b"PAR1 is not enough")
