@@ -34,6 +34,8 @@ NOW = datetime(2024, 2, 1)
 CADENCE = timedelta(hours=2)
 FINE_CADENCE = timedelta(minutes=20)
 SEQUENCE_LENGTH = 12
+# Rows per sequence on the short grid: as many as a day has five-minute steps.
+LONG_SEQUENCE = 288
 
 _kept: dict[tuple[str, str, str], object] = {}
 

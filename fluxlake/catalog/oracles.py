@@ -464,6 +464,13 @@ _FINAL = {
                {', '.join(_r(f'sum(CAST(CAST(p.{c} AS FLOAT) AS DOUBLE))', f'sum_{c}') for c in s.MODEL_INPUTS)}
         FROM dst d CROSS JOIN cfg JOIN dst p ON p.horizon = d.horizon AND p.split = d.split AND p.si BETWEEN d.si - len + 1 AND d.si
         WHERE d.si >= len - 1 GROUP BY 1, 2, 3""",
+    "sequence_chunks": f"""
+        SELECT i AS row_idx, n_known, {_r('weighted - (i - 287) * first_sum', 'moment')}, {', '.join(_r(f'sum_{c}') for c in GRID)} FROM (
+          SELECT i, count(*) OVER w AS n, CAST({' + '.join(f'count({q(c)}) OVER w' for c in GRID)} AS BIGINT) AS n_known,
+                 coalesce(sum(i * CAST(CAST(goes_electron_flux AS FLOAT) AS DOUBLE)) OVER w, 0) AS weighted,
+                 coalesce(sum(CAST(CAST(goes_electron_flux AS FLOAT) AS DOUBLE)) OVER w, 0) AS first_sum,
+                 {', '.join(f'coalesce(sum(CAST(CAST({q(c)} AS FLOAT) AS DOUBLE)) OVER w, 0) AS sum_{c}' for c in GRID)}
+          FROM fine WINDOW w AS (ORDER BY i ROWS BETWEEN 287 PRECEDING AND CURRENT ROW)) WHERE n = 288""",
     "chrono_split": f"SELECT horizon, ts, i AS row_idx, {_r('y')}, split, si AS split_idx FROM dst",
     "persistence": f"SELECT horizon, valid_ts, {_r('persistence_pred')} FROM val",
     "sorted_sink": f"SELECT ts, {_r('goes_electron_flux')} FROM feat",

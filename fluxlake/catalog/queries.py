@@ -501,6 +501,21 @@ def sequence_windows(spark, sf_dir):
     )
 
 
+@query
+def sequence_chunks(spark, sf_dir):
+    """Long windows of the fine grid, gaps among their rows, held once and looked at as one array per chunk."""
+    inputs = list(schemas.GRID_COLUMNS)
+    chunks = horizons.sequence_chunks(b.fine_grid(spark, sf_dir), b.LONG_SEQUENCE, inputs, (), "row_idx")
+
+    def summary(views):
+        known = ~np.isnan(views)
+        out = {"n_known": known.sum(axis=(1, 2)), "moment": np.nansum(views[:, :, 0] * np.arange(views.shape[1], dtype=float), axis=1)}
+        return {**out, **{f"sum_{c}": np.nansum(views[:, :, k], axis=1, dtype=float) for k, c in enumerate(inputs)}}
+
+    columns = "n_known bigint, moment double, " + ", ".join(f"sum_{c} double" for c in inputs)
+    return horizons.map_windows(chunks, b.LONG_SEQUENCE, summary, columns, (), "row_idx")
+
+
 @query
 def chrono_split(spark, sf_dir):
     return b.datasets(spark, sf_dir).select("horizon", "ts", "row_idx", "y", "split", "split_idx")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake import schemas
+from fluxlake.functions.times import whole_div
 from fluxlake.operators.position import CHUNK_ROWS, over_chunks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def horizon_column(name: Column | str, values: Mapping[str, float]) -> Column:
     """Look a horizon up in a small mapping, as an expression (no join); what it doesn't hold is NULL."""
@@ -83,7 +90,7 @@ def sequence_windows(
 ) -> DataFrame:
     """The ``length`` latest rows as ``ARRAY<ARRAY<FLOAT>>``, for rows that have that much history.
 
-    Every row repeats ``length`` rows of input, so use it at a sink or on a filtered table.
+    Every row repeats ``length`` rows of input, so use it at a sink or on a filtered table; ``sequence_chunks`` holds the same windows once.
     """
     row = F.array(*[F.col(c).cast("float") for c in inputs])
 
@@ -95,6 +102,47 @@ def sequence_windows(
     return built.where(F.size("sequence") == length)
 
 
+def sequence_chunks(
+    datasets: DataFrame, length: int, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS),
+    groups: Sequence[str] = ("horizon", "split"), idx: str = "split_idx", chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``(groups.., first_idx, n_rows, values)``: consecutive rows, flat, of which every run of ``length`` is a window.
+
+    A chunk also holds the ``length - 1`` rows before its own, so each window lies in exactly one chunk and all chunks together have at most
+    twice the rows of the input, whatever the length. ``values`` has ``n_rows`` times the inputs, row by row, as floats. Positions
+    count from 0 without gaps in each group; NULL inputs stay; a group with fewer rows than a window has none.
+    """
+    chunk_rows = max(chunk_rows, length)
+    home = whole_div(F.col(idx), chunk_rows)
+    last = F.least(whole_div(F.col(idx) + (length - 1), chunk_rows), home + 1)
+    copied = datasets.withColumn("_chunk", F.explode(F.sequence(home, last)))
+    row = F.struct(F.col(idx).cast("bigint").alias("at"), F.array(*[F.col(c).cast("float") for c in inputs]).alias("x"))
+    rows = F.array_sort(F.collect_list(row))
+    built = copied.groupBy(*groups, "_chunk").agg(rows.alias("rows")).where(F.size("rows") >= length)
+    return built.select(*groups, F.col("rows")[0]["at"].alias("first_idx"), F.size("rows").alias("n_rows"), F.flatten(F.col("rows.x")).alias("values"))
+
+
+def map_windows(
+    chunks: DataFrame, length: int, apply: Callable[[np.ndarray], Mapping[str, np.ndarray]], columns: str,
+    groups: Sequence[str] = ("horizon", "split"), idx: str = "split_idx",
+) -> DataFrame:
+    """``(groups.., idx, columns..)``: what ``apply`` makes of the windows of ``sequence_chunks``, at each window's last row.
+
+    ``apply`` gets all windows of a chunk as one array (window, row, input) that shares the chunk's memory, NULL as NaN; it must not change it.
+    ``columns`` declares what it returns.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for *group, first, n_rows, values in frame[[*groups, "first_idx", "n_rows", "values"]].itertuples(index=False, name=None):
+                tensor = np.asarray(values, dtype=np.float32).reshape(n_rows, -1)
+                views = np.lib.stride_tricks.sliding_window_view(tensor, length, axis=0).transpose(0, 2, 1)
+                yield pd.DataFrame({**dict(zip(groups, group)), idx: first + length - 1 + np.arange(len(views)), **apply(views)})
+
+    kept = "".join(f"`{g}` {chunks.schema[g].dataType.simpleString()}, " for g in groups)
+    return chunks.mapInPandas(run, f"{kept}`{idx}` bigint, {columns}")
+
+
 def summarise_windows(
     datasets: DataFrame, length: int, inputs: Sequence[str] = tuple(schemas.MODEL_INPUTS),
     groups: Sequence[str] = ("horizon", "split"), idx: str = "split_idx",

@@ -198,6 +198,19 @@ def test_sequences_never_cross_splits(series):
     assert len(rows) == 90 - 3 * 3
 
 
+@pytest.mark.parametrize(("length", "chunk_rows"), [(1, 3), (4, 5), (4, 4), (7, 2), (30, 8)])
+def test_chunks_hold_the_windows_once(spark, length, chunk_rows):
+    """Every window equals the repeated one, in rows that grow with the input alone; NULL inputs stay; a short group has none."""
+    rows = [(g, i, None if i % 9 == 4 else float(i * 10 + g), float(-i)) for g, n in ((0, 33), (1, 12), (2, 3)) for i in range(n)]
+    data = spark.createDataFrame(rows, "g int, at bigint, x double, y double").repartition(5)
+    chunks = horizons.sequence_chunks(data, length, ["x", "y"], ["g"], "at", chunk_rows)
+    assert chunks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0] <= 2 * len(rows)
+    flat = lambda views: {"window": list(views.reshape(len(views), -1))}
+    got = {(r.g, r["at"]): [None if v != v else v for v in r.window] for r in horizons.map_windows(chunks, length, flat, "window array<float>", ["g"], "at").collect()}
+    want = {(r.g, r["at"]): [v for row in r.sequence for v in row] for r in horizons.sequence_windows(data, length, ["x", "y"], ["g"], "at").collect()}
+    assert got == want
+
+
 def test_targets_look_ahead_by_rows(series, column):
     got = horizons.add_targets(series(range(6)), "x", {"A": 2, "B": 5})
     assert column(got, "y_A") == [2.0, 3.0, 4.0, 5.0, N, N] and column(got, "y_B") == [5.0, N, N, N, N, N]
