@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlake import schemas
+from fluxlake.catalog.derived import source_file
 from fluxlake.functions.guards import drop_nonpositive
 from fluxlake.operators.position import with_row_index
 from fluxlake.operators.resample import align_records
@@ -93,6 +94,18 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def instrument_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The training records as three instruments write them: target flux, field vector, speed and density, with file and place."""
+    channel, value, rows = _channel(), F.col("value"), events(spark, sf_dir)
+    place = [F.col("ts").alias("Epoch"), source_file().alias("source_file"), F.col("event_id").alias("ordinal")]
+    only = lambda number, reading: F.when(channel == number, reading)
+    return {
+        "flux": rows.where((channel == 0) & ~F.col("event_type").eqNullSafe("signup")).select(*place, F.array(value, value / 2).alias("E2W_COR_FLUX")),
+        "field": rows.where(channel.between(1, 3)).select(*place, F.array(*[only(i, value - 50) for i in (1, 2, 3)]).alias("BGSE")),
+        "plasma": rows.where(channel > 3).select(*place, only(4, value + 300).alias(schemas.SPEED_NAMES[0]), only(5, value / 10).alias("Np")),
+    }
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = lambda: stage(align_records(records(spark, sf_dir), schemas.GRID_COLUMNS, CADENCE), "grid")
     return keep(spark, sf_dir, "grid", build)

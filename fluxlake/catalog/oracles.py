@@ -376,6 +376,10 @@ _FINAL = {
     "skipped_archives": f"""SELECT DISTINCT 'a' || lpad(CAST(event_id // {ARCHIVE_EVENTS} AS VARCHAR), 9, '0') || '.zip' AS archive, 'BadZipFile' AS reason
         FROM events WHERE event_id // {ARCHIVE_EVENTS} % 7 = 0""",
     "archive_folder": f"SELECT ts, {_r('CASE WHEN value > 0 THEN value END', 'electron_flux')} FROM events WHERE event_id // {FOLDER_EVENTS} % 7 <> 0",
+    "ingest_folders": f"""
+        SELECT g.ts, {', '.join(_r(f'g.{q(c)}', c) for c in GRID)}, {_r('truth_flux')} FROM grid g LEFT JOIN (
+          SELECT make_timestamp(epoch_us(ts) // w * w) AS ts, avg(CASE WHEN value > 0 THEN value END) AS truth_flux
+          FROM events, cfg WHERE event_id // {FOLDER_EVENTS} % 7 <> 0 GROUP BY 1) t ON t.ts = g.ts""",
     "archive_folder_report": f"""
         WITH a AS (SELECT event_id // {FOLDER_EVENTS} AS k, count(*) AS n FROM events GROUP BY 1)
         SELECT 'a' || lpad(CAST(k AS VARCHAR), 9, '0') || '.zip' AS archive, CASE WHEN k % 7 = 0 THEN 0 ELSE n + 1 END AS n_lines,

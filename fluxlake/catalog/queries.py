@@ -19,7 +19,7 @@ from fluxlake.operators import asof, clean, gather, horizons, learners, resample
 from fluxlake.operators.lagged import gram, normal_blocks
 from fluxlake.operators.position import with_row_index
 from fluxlake.operators.trees import FlatTrees, round_errors
-from fluxlake.plans import evaluate, report
+from fluxlake.plans import evaluate, ingest, report
 from fluxlake.plans.features import DELTAS
 from fluxlake.plans.prepare import clean_series
 from fluxlake.session import fresh_path, stage
@@ -163,6 +163,18 @@ def archive_folder(spark, sf_dir):
     return archives.scan_archives(spark, _archive_folder(spark, sf_dir), "part-*")
 
 
+@query
+def ingest_folders(spark, sf_dir):
+    """Three folders of records and one of archives, from files to the training grid, beside the truth's mean of every bin."""
+    folders = {}
+    for name, table in b.instrument_tables(spark, sf_dir).items():
+        folders[name] = fresh_path(spark, name)
+        table.write.partitionBy("source_file").parquet(folders[name])
+    got = ingest.ingest(spark, *folders.values(), _archive_folder(spark, sf_dir), b.NOW, b.CADENCE, truth_pattern="part-*")
+    truth = resample.resample_mean(got["validation"].withColumnRenamed("electron_flux", "truth_flux"), ["truth_flux"], b.CADENCE)
+    return got["training"].join(truth, "ts", "left").select("ts", *schemas.GRID_COLUMNS, "truth_flux")
+
+
 @query
 def archive_folder_report(spark, sf_dir):
     """Every file of the folder with its number of lines, or why it was skipped."""

@@ -30,19 +30,21 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """``(keys.., name, q_0, q_1, ..)``: linearly interpolated quantiles of the values.
 
     NULL and NaN are left out. Infinities are values like others: a quantile between a finite and an infinite
-    value is infinite, one between opposite infinities is NULL. Groups without values give no row, rows with a NULL key
-    are left out. No task orders more than ``ordered`` (at least 8) values of a group's order statistic.
+    value is infinite, one between opposite infinities is NULL. Groups without values give no row; a NULL key
+    is a group. No task orders more than ``ordered`` (at least 8) values of a group's order statistic.
     """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     )
-    values = df.select(*keys, pairs.alias("pair")).select(*keys, "pair.name", F.nanvl("pair.value", F.lit(None).cast("double")).alias("value"))
-    values = values.dropna(subset=[*keys, "value"])
-    group, margin = [*keys, "name"], MARGIN / ACCURACY
+    # Structs with NULLs in the same places are equal, so one struct of all keys keeps NULL keys through every join.
+    group, margin = ["_keys", "name"] if keys else ["name"], MARGIN / ACCURACY
+    own = [F.struct(*keys).alias("_keys")] if keys else []
+    values = df.select(*own, pairs.alias("pair")).select(*group[:-1], "pair.name", F.nanvl("pair.value", F.lit(None).cast("double")).alias("value"))
+    values = values.where("value IS NOT NULL")
     while True:
         answers, missed = _bracketed(values, group, probabilities, margin, max(ordered, 8))
         if not missed:
-            return answers
+            return answers.select("_keys.*", *[c for c in answers.columns if c != "_keys"]) if keys else answers
         margin *= 8
 
 

@@ -29,6 +29,7 @@ def training_grid(
 def ingest(
     spark: SparkSession, flux_dir: str, field_dir: str, plasma_dir: str, truth_dir: str, now: datetime,
     cadence: timedelta = FIVE_MINUTES, pattern: str = "*.parquet", format: str = "parquet",
+    truth_pattern: str = "*.zip",
 ) -> dict[str, DataFrame]:
     """Read the four sources and return the staged ``training`` grid and the ``validation`` signal.
 
@@ -37,5 +38,5 @@ def ingest(
     checked = lambda scan: (lambda df, **names: drop_corrupt_stamps(scan(df, **names), now))
     read = lambda path, scan: read_directory(spark, path, checked(scan), pattern, format)
     grid = training_grid(read(flux_dir, scan_flux), read(field_dir, scan_vector), read(plasma_dir, scan_plasma), cadence)
-    truth = optional_source(spark, lambda: scan_archives(spark, truth_dir), schemas.TRUTH_SIGNAL)
+    truth = optional_source(spark, lambda: scan_archives(spark, truth_dir, truth_pattern), schemas.TRUTH_SIGNAL)
     return {"training": stage(grid, "training_grid"), "validation": truth}

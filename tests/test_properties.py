@@ -204,9 +204,18 @@ def test_narrowing_leaves_few_values_and_counts_what_is_below(spark):
     assert row.below == 10 + before and row.below <= 70_000 < 70_001 < row.below + sum(r.c for r in kept)
 
 
-def test_quantiles_leave_rows_without_a_key_out(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 9.0)], "k string, x double")
-    assert [(r.k, r.q_0) for r in exact_quantiles(df, ["x"], [0.5], ["k"]).collect()] == [("a", 2.0)]
+@pytest.mark.parametrize("ordered", [8, 65_536])
+def test_quantiles_of_rows_without_a_key(spark, ordered):
+    rows = [("a", 1, 1.0), ("a", 1, 3.0), (None, 1, 9.0), (None, 1, 10.0), (None, None, 5.0), *[("b", None, float(i)) for i in range(101)]]
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, j int, x double"), ["x"], [0.5], ["k", "j"], ordered).collect()
+    assert {(r.k, r.j): r.q_0 for r in got} == {("a", 1): 2.0, (None, 1): 9.5, (None, None): 5.0, ("b", None): 50.0} and len(got) == 4
+
+
+def test_rows_without_a_key_are_attached(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, id int")
+    groups = spark.createDataFrame([("a", "x"), (None, "y")], "k string, v string")
+    for got in (attach(rows, groups, ["k"]), attach_salted(rows, groups, ["k"])):
+        assert got.columns == ["k", "id", "v"] and {(r.k, r.id, r.v) for r in got.collect()} == {("a", 1, "x"), (None, 2, "y")}
 
 
 def test_quantiles_of_one_huge_group_and_of_none(spark):
