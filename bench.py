@@ -24,6 +24,7 @@ HEADLINE = [
     "resample_mean", "align_grid", "dedup_keep_first", "drop_corrupt_ts", "despike_mad", "interpolate_gaps", "robust_scale",
     "dynamic_lag", "rolling_stats", "ema", "feature_table", "chrono_split", "sequence_windows", "asof_nearest", "best_alpha",
     "validate_truth", "parse_text_auto", "scan_archive", "rolling_stats_by_key", "resample_by_key",
+    "interpolate_gaps_by_key", "asof_by_key", "sequence_chunks", "ingest_folders",
 ]
 
 

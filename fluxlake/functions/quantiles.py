@@ -95,15 +95,9 @@ def _narrowed(held: DataFrame, wanted: DataFrame, slot: list[str], ordered: int)
     of the values, so each round divides them by about half the number of slices.
     """
     slices = min(SLICES, ordered // 2)
-    while True:
-        crowd = stage(
-            held.groupBy(*slot).agg(
-                F.count("*").alias("values"), F.percentile_approx("inside", F.array(*[F.lit(i / slices) for i in range(1, slices)]), ACCURACY).alias("cuts")
-            ), "quantile_cuts",
-        )
-        crowded = crowd.where(F.col("values") > ordered)
-        if crowded.isEmpty():
-            return held, wanted
+    while not held.groupBy(*slot).agg(F.count("*").alias("values")).where(F.col("values") > ordered).isEmpty():
+        percents = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+        crowd = stage(held.groupBy(*slot).agg(F.count("*").alias("values"), F.percentile_approx("inside", percents, ACCURACY).alias("cuts")), "quantile_cuts")
         # Slots with few values are one slice.
         cuts = crowd.select(*slot, F.when(F.col("values") > ordered, F.array_distinct("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
         sliced = attach(held, cuts, slot).withColumn("slice", F.size(F.filter("cuts", lambda cut: cut < F.col("inside")))).drop("cuts")
@@ -117,3 +111,4 @@ def _narrowed(held: DataFrame, wanted: DataFrame, slot: list[str], ordered: int)
         kept = stage(spans.withColumn("hit", hit).where("hit").select(*slot, "slice", "start", "position"), "quantile_slices")
         held = stage(attach(sliced, kept.select(*slot, "slice"), [*slot, "slice"]).drop("slice"), "quantile_held")
         wanted = stage(kept.groupBy(*slot).agg(F.first("position").alias("position"), F.min("start").alias("below")), "quantile_ranks")
+    return held, wanted
