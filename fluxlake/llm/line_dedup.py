@@ -5,9 +5,9 @@ then place in the text) is the representative. Representatives of at least ``NEA
 ``edits_of`` edits, a number that grows with the shorter line's length: a line is cut into one segment more than its edits, of
 which an edited line must hold one unchanged and hardly shifted; an index row per segment (with the line's length) meets probe
 rows for the few substrings, at lengths up to that many edits less, that can be that segment. Most rows meet none, so a first
-pass packs the hashes of all rows into buckets and finds those that meet; only their rows, with lines, are joined. Matches whose
-parities of letter pairs differ too much are thrown away in the join; the others are verified on their texts by a banded bit-parallel
-edit distance. A representative goes if an earlier one is within that many edits.
+pass packs the hashes of all rows into buckets and finds those that meet; only their rows get lines. The lines of a hash are held
+against each other in blocks of bounded size: matches whose parities of letter pairs differ too much are thrown away, the others are
+verified on their texts by a banded bit-parallel edit distance. A representative goes if an earlier one is within that many edits.
 """
 
 from __future__ import annotations
@@ -38,7 +38,10 @@ PACK_SIGNS = 1 << 21
 TASK_SIGNS = 8_000_000
 LINE_SIGNS = 36
 PACK_BITS = 39
-# Lines of a group that are not all held against each other; stretches of a pivot for lines far from it and near it.
+# Lines of a block at most on average, and pairs of a block whose parities are compared at a time.
+BLOCK_LINES = 1024
+BLOCK_PAIRS = 1 << 17
+# Lines of a group that are first split by pivots if links need not be counted; stretches of a pivot for lines far from it and near it.
 CROWD = 64
 FINE_CELLS = 16
 LARGE_CELLS = 4
@@ -395,14 +398,90 @@ def _texts(firsts: DataFrame, wanted) -> DataFrame:
     return firsts.mapInPandas(run, "line bigint, " + _place(firsts) + ", text string, odd array<bigint>")
 
 
-def near_lines(firsts: DataFrame, max_edits: int | None) -> DataFrame:
-    """``(a, b)``: links of representatives within ``edits_of`` edits, the earlier one as ``a``. Each link once.
+def _compared(block: list[tuple], max_edits: int | None, every: bool) -> list[tuple]:
+    """``(place.., goes, n_links)`` of the lines of a block that have a link in it. Rows are in corpus order.
 
-    Every representative that has an earlier one within that many edits is the ``b`` of a link. Lines that share a sign are first held
-    against the earliest of them only, their pivot, one pair a line; a line that this links is settled, and only the others are held against
-    earlier lines of their signs. So many variants of one line are linked to the first of them, not to each other. A sign of more
-    than ``CROWD`` lines is split by where its lines differ from the pivot (``cells``), and so are the groups that come of it, with pivots
-    of their own, as long as that at least halves the pairs that are left.
+    With ``every``, all links are counted, each in the least of the signs that its lines share. Without, a line that is not
+    ``open`` or goes already is not held against further ones, and nothing is counted.
+    """
+    group, lo, hi = block[0][:3]
+    slot, texts = np.array([r[3] for r in block]), [r[8] for r in block]
+    odd, opens, reaches, signs_of = np.array([r[9] for r in block], np.int64), np.array([r[10] for r in block]), [r[11] for r in block], [r[12] for r in block]
+    sizes, at = np.array([len(x) for x in texts], np.int64), np.arange(len(block))
+    most, less = _edits(sizes, max_edits), {}
+    reached = None if any(x is None for x in reaches) else np.array(reaches)
+    links, goes = np.zeros(len(block), np.int64), np.zeros(len(block), bool)
+
+    def lesser(i: int) -> frozenset:
+        if i not in less:
+            less[i] = frozenset(x for x in signs_of[i].tolist() if x < group)
+        return less[i]
+
+    step = max(1, BLOCK_PAIRS // len(block))
+    for first in range(0, len(block) - 1, step):
+        some = slice(first, first + step)
+        allowed = np.minimum(most[some, None], most[None, first:])
+        meets = (at[some, None] < at[None, first:]) & (np.abs(sizes[some, None] - sizes[None, first:]) <= allowed)
+        meets &= np.bitwise_count(odd[some, None].view(np.uint64) ^ odd[None, first:].view(np.uint64)).sum(axis=-1, dtype=np.int64) <= 4 * allowed
+        if lo != hi:
+            meets &= slot[some, None] != slot[None, first:]
+        if not every:
+            meets &= opens[None, first:]
+        if reached is not None:
+            # Lines of a cell have a pivot in common: each equals it no further than the other reaches, from either end.
+            x, y = reached[some, None], reached[None, first:]
+            meets &= (x[..., 0] <= y[..., 1]) & (y[..., 0] <= x[..., 1]) & (x[..., 2] <= y[..., 3]) & (y[..., 2] <= x[..., 3])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(meets))):
+            n, i, j = int(allowed[i, j]), first + i, first + j
+            if (not lesser(i).isdisjoint(lesser(j))) if every else goes[j]:
+                continue
+            if edit_distance(texts[i], texts[j], n) <= n:
+                goes[j] = True
+                links[i] += 1
+                links[j] += 1
+    out = np.flatnonzero(links if every else goes).tolist()
+    return [(*block[i][4:8], bool(goes[i]), int(links[i]) if every else None) for i in out]
+
+
+def _held(rows: DataFrame, max_edits: int | None, every: bool) -> DataFrame:
+    """``(place.., goes, n_links)`` of lines with a link: the lines of each group held against each other.
+
+    ``rows``: ``(group, n, line, place, text, odd, open, reach, signs)`` with the number ``n`` of lines of the group. A group of many lines
+    is dealt to slots, and every two of them meet in a block of their own, so no task holds more than a few blocks' lines.
+    """
+    slots = F.ceil(F.col("n") / BLOCK_LINES)
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("line"), slots)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), slots - 1)))
+    key, place = ["group", "lo", "hi"], ["nameless", "id", "version", "pos"]
+    dealt = dealt.select(
+        "group", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "place.*", "text", "odd", "open", "reach", "signs",
+    )
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, found = [], []
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                if block and row[:3] != block[0][:3]:
+                    found += _compared(block, max_edits, every)
+                    block = []
+                block.append(row)
+            if found:
+                yield pd.DataFrame(found, columns=[*place, "goes", "n_links"])
+                found = []
+        if block and (found := _compared(block, max_edits, every)):
+            yield pd.DataFrame(found, columns=[*place, "goes", "n_links"])
+        block, found = [], []
+        give_back()
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema["place"].dataType) + ", goes boolean, n_links bigint"
+    return dealt.repartition(*key).sortWithinPartitions(*key, *place).mapInPandas(run, shape)
+
+
+def near_lines(firsts: DataFrame, max_edits: int | None, count_links: bool = True) -> DataFrame:
+    """``(nameless, id, version, pos, goes, n_links)`` of the representatives that are within ``edits_of`` edits of another.
+
+    ``goes``: an earlier one is. ``n_links``: all others that are, earlier or later. Lines that share a sign are held against each other, each
+    pair once. Without ``count_links`` the lines that go are the same, but ``n_links`` is NULL, other rows may be missing, and
+    crowds are split by pivots first (``_by_pivots``).
 
     ``firsts``: rows ``(nameless, id, version, text, firsts)`` with the positions of the representatives in a text.
     """
@@ -410,19 +489,34 @@ def near_lines(firsts: DataFrame, max_edits: int | None) -> DataFrame:
     wanted = spark.sparkContext.broadcast(member_filter(_meeting(firsts, max_edits), "number"))
     rows = stage(_signatures(firsts, max_edits, wanted), "line-signs")
     wanted.destroy()
-    # Signs of one line alone were let through by chance.
-    met = rows.groupBy("sign").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("sign")
-    rows = rows.join(met, "sign")
+    rows = rows.groupBy("sign", "line").agg(F.min("probe").alias("probe"), F.first("edits").alias("edits"))
+    # Signs of one line alone were let through by chance; near lines share a sign that is a segment of one of them.
+    met = rows.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("probe")).where("n > 1 AND NOT probe").select("sign", "n")
+    rows = stage(rows.join(met, "sign"), "line-meets")
     held = spark.sparkContext.broadcast(member_filter(rows.select("line"), "line"))
     texts = stage(_texts(firsts, held), "line-texts")
     held.destroy()
     place = F.struct("nameless", "id", "version", "pos")
-    placed = stage(rows.join(texts.select("line", place.alias("place"), "odd"), "line"), "line-places")
-
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        most = [edits_of(min(len(x), len(y)), max_edits) for x, y in zip(a, b)]
-        return pd.Series([edit_distance(x, y, n) <= n for x, y, n in zip(a, b, most)], dtype=bool)
+    if count_links:
+        signs_of = rows.groupBy("line").agg(F.collect_list("sign").alias("signs"))
+        known = texts.join(signs_of, "line").select("line", place.alias("place"), "text", "odd", "signs")
+        groups = rows.select(F.col("sign").alias("group"), "n", "line").join(known, "line").withColumns({"open": F.lit(True), "reach": F.lit(None).cast("array<int>")})
+        found = _held(groups, max_edits, True)
+    else:
+        placed = stage(rows.join(texts.select("line", place.alias("place"), "odd"), "line").drop("n"), "line-places")
+        found = _by_pivots(placed, texts, max_edits)
+    return found.groupBy("nameless", "id", "version", "pos").agg(F.max("goes").alias("goes"), F.sum("n_links").alias("n_links"))
+
+
+def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> DataFrame:
+    """``(place.., goes, n_links)`` of every line that has an earlier one within its edits; links are not counted.
+
+    Lines that share a sign are first held against the earliest of them only, their pivot, one pair a line; a line that this links is
+    settled, and only the others are held against earlier lines of their signs. A sign of more
+    than ``CROWD`` lines is split by where its lines differ from the pivot (``cells``), and so are the groups that come of it, with pivots
+    of their own, as long as that at least halves the pairs that are left.
+    """
+    place = F.struct("nameless", "id", "version", "pos")
 
     @F.pandas_udf("near boolean, edits int, cells array<int>, reach array<int>")
     def against(pivot: pd.Series, line: pd.Series, crowd: pd.Series) -> pd.DataFrame:
@@ -439,7 +533,7 @@ def near_lines(firsts: DataFrame, max_edits: int | None) -> DataFrame:
 
     odd = functools.reduce(Column.__add__, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_a")[i])) for i in range(PARITY_BITS // 64)])
     close = odd <= 4 * F.least("edits", "edits_a")
-    groups = placed.withColumnRenamed("sign", "group").withColumn("reach", F.lit(None).cast("array<int>"))
+    groups = placed.withColumnRenamed("sign", "group").drop("probe").withColumn("reach", F.lit(None).cast("array<int>"))
     found, settled, pairs, last = [], None, [], None
     while True:
         # Each group's lines against its earliest. That of a crowded one also says where the others differ.
@@ -449,13 +543,13 @@ def near_lines(firsts: DataFrame, max_edits: int | None) -> DataFrame:
         star = members.where("line != a").groupBy("a", F.col("line").alias("b")).agg(F.max("crowd").alias("crowd"), F.max("close").alias("close")).where("crowd OR close")
         star = with_texts(star).select("a", "b", "place_a", "place_b", against("text_a", "text_b", "crowd").alias("is"))
         star = stage(star.select("a", "b", "place_a", "place_b", "is.*"), "line-star-links")
-        found.append(star.where("near").select("place_a", "place_b"))
+        found.append(star.where("near").select("place_b.*"))
         now = star.where("near").select(F.col("b").alias("line")).distinct()
         settled = stage(now if settled is None else settled.unionByName(now).distinct(), "line-settled")
         pairs.append(members.where("NOT crowd AND line != a"))
         split = members.where("crowd AND line != a").select("a", F.col("line").alias("b"), "line", "odd", "place").distinct()
         split = split.join(star.select("a", "b", "edits", "reach", F.explode("cells").alias("cell")), ["a", "b"])
-        split = split.select(F.xxhash64("a", "cell").alias("group"), "line", "odd", "edits", F.lit(False).alias("probe"), "place", "reach")
+        split = split.select(F.xxhash64("a", "cell").alias("group"), "line", "odd", "edits", "place", "reach")
         split = split.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
         split = stage(split, "line-groups")
         # Only groups with an open line and another one are of use.
@@ -466,25 +560,21 @@ def near_lines(firsts: DataFrame, max_edits: int | None) -> DataFrame:
             pairs.append(groups)
             break
         last = left
-    rest = []
-    for rows in pairs:
-        earlier = rows.select("group", F.col("line").alias("a"), F.col("odd").alias("odd_a"), F.col("place").alias("place_a"), F.col("probe").alias("probe_a"), F.col("edits").alias("edits_a"), F.col("reach").alias("reach_a"))
-        later = rows.select("group", "line", "odd", "place", "probe", "edits", "reach").join(settled, "line", "left_anti")
-        both = later.join(earlier, "group").where(close & (F.col("place_a") < F.col("place")) & ~(F.col("probe") & F.col("probe_a")))
-        # Lines of a cell have a pivot in common: each equals it no further than the other reaches, from either end.
-        both = both.where("reach IS NULL OR (reach[0] <= reach_a[1] AND reach_a[0] <= reach[1] AND reach[2] <= reach_a[3] AND reach_a[2] <= reach[3])")
-        rest.append(both.select("a", F.col("line").alias("b")))
-    rest = stage(functools.reduce(DataFrame.unionByName, rest).distinct(), "line-rest-pairs")
-    rest = with_texts(rest)
-    found.append(stage(rest.where(verified("text_a", "text_b")).select("place_a", "place_b"), "line-rest-links"))
-    return functools.reduce(DataFrame.unionByName, found).select(F.col("place_a").alias("a"), F.col("place_b").alias("b")).distinct()
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | None = None, report: str = "line_dedup") -> DataFrame:
+    columns = ["group", "line", "place", "odd", "reach"]
+    rest = functools.reduce(DataFrame.unionByName, [rows.select(*columns) for rows in pairs])
+    rest = rest.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    rest = stage(rest.dropDuplicates(["group", "line", "place"]), "line-rest")
+    sizes = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 AND any").select("group", "n")
+    rest = rest.join(sizes, "group").join(texts.select("line", place.alias("place"), "text"), ["line", "place"]).withColumn("signs", F.lit(None).cast("array<bigint>"))
+    gone = functools.reduce(DataFrame.unionByName, found).distinct().select("*", F.lit(True).alias("goes"), F.lit(None).cast("bigint").alias("n_links"))
+    return gone.unionByName(_held(rest, max_edits, False))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | None = None, report: str = "line_dedup", count_links: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and a struct ``report`` of what was done to it, by default ``line_dedup``.
 
-    The struct: ``n_lines`` (with a word), ``n_exact`` and ``n_near`` taken out, ``n_links`` (links of its
-    representatives, of those that decide; see ``near_lines``). Lines without a word always stay, as does the first of equal lines. Lines under ``MIN_CHARS``
+    The struct: ``n_lines`` (with a word), ``n_exact`` and ``n_near`` taken out, and ``n_links`` (all near links of its representatives, to
+    either side; NULL without ``count_links``, which spares comparisons where many lines are alike). Lines without a word always stay, as does the first of equal lines. Lines under ``MIN_CHARS``
     code points go only if their own text has them earlier; others if any earlier text has. NULL texts stay NULL. NULL ids
     come last in corpus order; rows that repeat id and text are one document, so they keep the same lines. An empty
     table gives an empty result; other columns are carried along.
@@ -504,13 +594,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = rows.join(firsts, key, "left").withColumn("firsts", F.coalesce("firsts", F.array().cast("array<int>")))
     marked.write.option("compression", "zstd").parquet(path)
     marked = spark.read.schema(marked.schema).parquet(path)
-    links = near_lines(marked.where(F.size("firsts") > 0), max_edits)
-    path = fresh_path(spark, "line-links")
-    links.write.parquet(path)
-    links = spark.read.schema(links.schema).parquet(path)
-    # Of a link, the later line goes. A line's links are counted on both of its ends.
-    ends = links.select("b.*", F.lit(True).alias("goes")).unionByName(links.select("a.*", F.lit(False).alias("goes")))
-    touched = ends.groupBy(*key).agg(F.collect_set(F.when(F.col("goes"), F.col("pos"))).alias("near"), F.count(F.lit(1)).alias("n_links"))
+    near = stage(near_lines(marked.where(F.size("firsts") > 0), max_edits, count_links), "line-near")
+    touched = near.groupBy(*key).agg(F.collect_set(F.when(F.col("goes"), F.col("pos"))).alias("near"), F.sum("n_links").alias("n_links"))
 
     @F.pandas_udf("text string, n_lines bigint, n_exact bigint, n_near bigint")
     def rest(texts: pd.Series, first: pd.Series, near: pd.Series) -> pd.DataFrame:
@@ -524,9 +609,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(some.value.hold(number.to_numpy()))
 
     marked = marked.withColumn("maybe", may_be_touched(F.xxhash64(*key)))
-    none = marked.where(~F.col("maybe")).select("*", F.array().cast("array<int>").alias("near"), F.lit(0).cast("long").alias("n_links"))
+    no_links = F.lit(0 if count_links else None).cast("long")
+    none = marked.where(~F.col("maybe")).select("*", F.array().cast("array<int>").alias("near"), no_links.alias("n_links"))
     both = marked.where("maybe").join(touched, key, "left").withColumns({
-        "near": F.coalesce("near", F.array().cast("array<int>")), "n_links": F.coalesce("n_links", F.lit(0)),
+        "near": F.coalesce("near", F.array().cast("array<int>")), "n_links": F.coalesce("n_links", no_links),
     })
     done = none.unionByName(both).withColumn("rest", rest("text", "firsts", "near"))
     return done.select("row", "rest", "n_links").select(

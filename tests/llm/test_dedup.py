@@ -261,6 +261,40 @@ def test_lines_that_differ_in_any_one_character_are_near(table):
     assert not any(r.text for r in line_dedup.dedup_lines(table(rows)).where("doc_id > 0").collect())
 
 
+@pytest.mark.parametrize("lines_of_a_block", [1024, 12])
+def test_all_links_of_a_crowd_are_counted(table, monkeypatch, lines_of_a_block):
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines_of_a_block)
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    rng = random.Random(21)
+    base = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(12))
+    # The third line is near both others, which are not near each other: only one of its links decides.
+    lines = ["x" * 30 + "abcd", "x" * 30 + "efcd", "x" * 30 + "ebcd", *{_variant(rng, base, rng.randint(0, 1)) for _ in range(120)}]
+    rows = [(i, f"{a}\n{b}") for i, (a, b) in enumerate(zip(lines[::2], lines[1::2]))]
+    flat = [(i, line) for i, t in rows for line in t.split("\n")]
+    want = dict.fromkeys(range(len(rows)), 0)
+    for k, (i, a) in enumerate(flat):
+        for j, b in flat[:k]:
+            if a != b and distance(a, b) <= line_dedup.edits_of(min(len(a), len(b))):
+                want[i] += 1
+                want[j] += 1
+    got = line_dedup.dedup_lines(table(rows)).collect()
+    assert {r.doc_id: r.line_dedup.n_links for r in got} == want and sum(want.values()) > 4 * len(flat)
+    spared = line_dedup.dedup_lines(table(rows), count_links=False).collect()
+    assert {r.doc_id: r.text for r in got} == {r.doc_id: r.text for r in spared} == brute_lines(rows, None)
+    assert {r.line_dedup.n_links for r in spared} == {None}
+
+
+def test_lines_go_alike_without_counted_links(table, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    rng = random.Random(9)
+    base = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(12))
+    rows = [(0, base)]
+    while len(rows) < 160:
+        rows.append((len(rows), _variant(rng, rng.choice([base, base, base, rng.choice(rows)[1]]), rng.randint(0, 2))))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(rows), count_links=False).collect()}
+    assert got == brute_lines(rows, None)
+
+
 def test_line_dedup_of_odd_rows(table):
     long = "a line that is long enough to be compared"
     rows = ODD + [(20, f"{long}\nx\nx\n\n{long}s", None, None), (21, f"  {long}\t\nx", None, None), (None, f"new words for a line in here\n{long}", None, None)]
