@@ -9,11 +9,12 @@ get what their parent starts with.
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxlake.functions.times import whole_div
@@ -38,28 +39,40 @@ def carried(df: DataFrame, steps: Mapping[str, tuple[str, str]], position: str,
     if ends["low"] is None:
         return level.select(*keys, F.col("at").alias(position), *[F.lit(0.0).alias(n) for n in names])
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        """What comes before each element in its group, as one step, and after it the steps of the whole group."""
-        frame = frame.sort_values("at", ignore_index=True)
-        for i in range(len(names)):
-            a, b, before_a, before_b = 1.0, 0.0, [], []
-            for x, y in zip(frame[f"a{i}"], frame[f"b{i}"]):
-                before_a.append(a)
-                before_b.append(b)
-                a, b = a * x, b * x + y
-            frame[f"a{i}"], frame[f"b{i}"], frame[f"all_a{i}"], frame[f"all_b{i}"] = before_a, before_b, a, b
-        frame["last"] = frame["at"] == frame["at"].iloc[-1]
-        return frame
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What comes before each element in its group, as one step, and the steps of its group up to it: at the last one, of the whole group."""
+        state = [(1.0, 0.0)] * len(names)
+        for batch in batches:
+            begins, found = batch.column("_begins").to_pylist(), {}
+            for i in range(len(names)):
+                (a, b), parts = state[i], ([], [], [], [])
+                for first, x, y in zip(begins, *(batch.column(f"{part}{i}").to_numpy(zero_copy_only=False).tolist() for part in ("a", "b"))):
+                    if first:
+                        a, b = 1.0, 0.0
+                    parts[0].append(a)
+                    parts[1].append(b)
+                    a, b = a * x, b * x + y
+                    parts[2].append(a)
+                    parts[3].append(b)
+                state[i] = a, b
+                found.update(zip((f"a{i}", f"b{i}", f"all_a{i}", f"all_b{i}"), (pa.array(part, pa.float64(), from_pandas=True) for part in parts)))
+            same = {name: batch.column(name) for name in (*keys, "at", "up", "last")}
+            yield pa.RecordBatch.from_pydict({name: (found | same)[name] for name in shape_names})
 
     # Counted from the first position: groups of negative and of other numbers would never meet.
     base, high, levels = ends["low"], ends["high"] - ends["low"], []
     level = level.withColumn("at", F.col("at") - F.lit(base))
     wide = ", ".join(f"{n} double" for n in numbers)
     shape = f"{key_type}at bigint, {wide}, up bigint, {', '.join(f'all_{n} double' for n in numbers)}, last boolean"
+    shape_names = [*keys, "at", *numbers, "up", *[f"all_{n}" for n in numbers], "last"]
+    # A task takes its groups one after the other: there may be as many as there are keys.
+    window = W.partitionBy(*keys, "up").orderBy("at")
     while True:
         high //= fan_out
-        grouped = level.withColumn("up", whole_div(F.col("at"), fan_out)).groupBy(*keys, "up").applyInPandas(scan, shape)
-        levels.append(stage(grouped, "scan_level"))
+        grouped = level.withColumn("up", whole_div(F.col("at"), fan_out)).withColumns(
+            {"_begins": F.row_number().over(window) == 1, "last": F.lead("at").over(window).isNull()}
+        )
+        levels.append(stage(grouped.sortWithinPartitions(*keys, "up", "at").mapInArrow(scan, shape), "scan_level"))
         if not high:
             break
         level = levels[-1].where("last").select(*keys, F.col("up").alias("at"), *[F.col(f"all_{n}").alias(n) for n in numbers])

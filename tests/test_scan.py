@@ -27,6 +27,21 @@ def test_carries_equal_a_loop(spark, fan_out):
         assert (r.x, r["count"]) == pytest.approx(want[r.key, r.at])
 
 
+def test_many_keys_are_scanned_task_by_task(spark, monkeypatch):
+    plans, stage = [], scan.stage
+
+    def noted(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stage(rows, name)
+
+    monkeypatch.setattr(scan, "stage", noted)
+    frame = spark.range(3000).selectExpr("id DIV 3 AS key", "(id % 3) * 400 AS at", "1.0D AS one", "CAST(id AS double) AS n").repartition(7)
+    got = {(r.key, r.at): r.before for r in scan.carried(frame, {"before": ("one", "n")}, "at", ["key"]).collect()}
+    assert got == {(k, at * 400): float(sum(range(3 * k, 3 * k + at))) for k in range(1000) for at in range(3)}
+    # A call of Python per key took most of the time.
+    assert plans and not any("FlatMapGroups" in plan for plan in plans)
+
+
 def test_carries_of_nothing(spark):
     frame = spark.createDataFrame([], "at bigint, a double, b double")
     assert scan.carried(frame, {"x": ("a", "b")}, "at").collect() == []
