@@ -494,7 +494,8 @@ def near_lines(firsts: DataFrame, max_edits: int | None, count_links: bool = Tru
     met = rows.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("probe")).where("n > 1 AND NOT probe").select("sign", "n")
     rows = stage(rows.join(met, "sign"), "line-meets")
     held = spark.sparkContext.broadcast(member_filter(rows.select("line"), "line"))
-    texts = stage(_texts(firsts, held), "line-texts")
+    # Rows that repeat id and text hold the same lines in the same places: one of each is enough, and is not near itself.
+    texts = stage(_texts(firsts, held).dropDuplicates(["line", "nameless", "id", "version", "pos"]), "line-texts")
     held.destroy()
     place = F.struct("nameless", "id", "version", "pos")
     if count_links:

@@ -284,6 +284,16 @@ def test_all_links_of_a_crowd_are_counted(table, monkeypatch, lines_of_a_block):
     assert {r.line_dedup.n_links for r in spared} == {None}
 
 
+@pytest.mark.parametrize("count_links", [True, False])
+def test_lines_of_repeated_rows_are_not_near_themselves(table, count_links):
+    line = "a line that is long enough to be held against others"
+    rows = [(1, f"{line}\nanother line that no other text has, or so it seems"), (2, line + "s"), (3, "x")]
+    got = line_dedup.dedup_lines(table(rows + rows), count_links=count_links).collect()
+    # The line of row 2 goes, as row 1 has one within an edit; the lines of row 1 stay in both copies.
+    assert sorted((r.doc_id, r.text, r.line_dedup.n_near, r.line_dedup.n_links) for r in got) == sorted(
+        (i, "" if i == 2 else t, int(i == 2), (int(i < 3) if count_links else None)) for i, t in rows + rows)
+
+
 def test_lines_go_alike_without_counted_links(table, monkeypatch):
     monkeypatch.setattr(line_dedup, "CROWD", 4)
     rng = random.Random(9)
