@@ -41,8 +41,10 @@ PACK_BITS = 39
 # Lines of a block at most on average, and pairs of a block whose parities are compared at a time.
 BLOCK_LINES = 1024
 BLOCK_PAIRS = 1 << 17
-# Lines of a group that are first split by pivots if links need not be counted; stretches of a pivot for lines far from it and near it.
+# Lines of a group that may be split by pivots if links need not be counted; comparisons, in crowds, that cost as much as a line's row
+# in one more group; stretches of a pivot for lines far from it and near it.
 CROWD = 64
+ROW_CROWDS = 8
 FINE_CELLS = 16
 LARGE_CELLS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -513,11 +515,13 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
     """``(place.., goes, n_links)`` of every line that has an earlier one within its edits; links are not counted.
 
     Lines that share a sign are first held against the earliest of them only, their pivot, one pair a line; a line that this links is
-    settled, and only the others are held against earlier lines of their signs. A sign of more
-    than ``CROWD`` lines is split by where its lines differ from the pivot (``cells``), and so are the groups that come of it, with pivots
-    of their own, as long as that at least halves the pairs that are left.
+    settled, and only the others are held against earlier lines. Near lines share most of their signs, so those groups mostly have the
+    same pivot and the same lines: where that is cheaper, the groups of a pivot become one in which each line has one row. A group of more than
+    ``CROWD`` lines is split by where its lines differ from the pivot (``cells``) if that at least halves its rows and comparisons, and
+    the groups that come of it likewise, with pivots of their own. So rows can't multiply from split to split.
     """
-    place = F.struct("nameless", "id", "version", "pos")
+    place, line = F.struct("nameless", "id", "version", "pos"), ["line", "place"]
+    row_cost = ROW_CROWDS * CROWD
 
     @F.pandas_udf("near boolean, edits int, cells array<int>, reach array<int>")
     def against(pivot: pd.Series, line: pd.Series, crowd: pd.Series) -> pd.DataFrame:
@@ -532,41 +536,53 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
         of = lambda x: texts.select(F.col("line").alias(x), place.alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
         return pairs.join(of("a"), "a").join(of("b"), "b").where("place_a < place_b")
 
+    def opened(rows: DataFrame) -> DataFrame:
+        return rows.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
+
     odd = functools.reduce(Column.__add__, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_a")[i])) for i in range(PARITY_BITS // 64)])
     close = odd <= 4 * F.least("edits", "edits_a")
-    groups = placed.withColumnRenamed("sign", "group").drop("probe").withColumn("reach", F.lit(None).cast("array<int>"))
-    found, settled, pairs, last = [], None, [], None
+    none, key = F.lit(None).cast("array<int>").alias("reach"), F.xxhash64("a").alias("group")
+    groups = placed.withColumnRenamed("sign", "group").drop("probe")
+    found, settled, pairs = [], None, []
     while True:
-        # Each group's lines against its earliest. That of a crowded one also says where the others differ.
         heads = groups.groupBy("group").agg(F.min(F.struct("place", "line", "odd", "edits")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        heads = heads.select("group", F.col("first.line").alias("a"), F.col("first.odd").alias("odd_a"), F.col("first.edits").alias("edits_a"), (F.col("n") > CROWD).alias("crowd"))
-        members = stage(groups.join(heads, "group").withColumn("close", close), "line-members")
-        star = members.where("line != a").groupBy("a", F.col("line").alias("b")).agg(F.max("crowd").alias("crowd"), F.max("close").alias("close")).where("crowd OR close")
-        star = with_texts(star).select("a", "b", "place_a", "place_b", against("text_a", "text_b", "crowd").alias("is"))
-        star = stage(star.select("a", "b", "place_a", "place_b", "is.*"), "line-star-links")
+        heads = heads.select("group", F.col("first.line").alias("a"), F.col("first.odd").alias("odd_a"), F.col("first.edits").alias("edits_a"))
+        meets = groups.join(heads, "group").where("line != a").select("group", "a", *line, "odd", close.alias("close"))
+        meets = stage(meets, "line-members")
+        members = stage(meets.groupBy("a", *line).agg(F.first("odd").alias("odd"), F.max("close").alias("close")), "line-pivots")
+        # Rows and comparisons of a pivot's groups, apart and as one.
+        apart = meets.groupBy("a", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        sizes = apart.join(members.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+        sizes = sizes.withColumn("one", F.expr(f"n * {row_cost} + n * n <= rows * {row_cost} + squares"))
+        sizes = sizes.select("a", "n", "one", F.expr("if(one, n, rows)").alias("rows"), F.expr("if(one, n * n, squares)").alias("squares"))
+        sizes = stage(sizes.withColumn("crowd", F.col("squares") > CROWD * F.col("rows")), "line-sizes")
+        # Each pivot's lines against it. That of a crowd also says where the others differ.
+        star = members.join(sizes.select("a", "crowd"), "a").where("crowd OR close")
+        star = with_texts(star.groupBy("a", F.col("line").alias("b")).agg(F.max("crowd").alias("crowd")))
+        star = stage(star.select("a", "b", "place_a", "place_b", "crowd", against("text_a", "text_b", "crowd").alias("is")).select("*", "is.*").drop("is"), "line-star-links")
         found.append(star.where("near").select("place_b.*"))
         now = star.where("near").select(F.col("b").alias("line")).distinct()
         settled = stage(now if settled is None else settled.unionByName(now).distinct(), "line-settled")
-        pairs.append(members.where("NOT crowd AND line != a"))
-        split = members.where("crowd AND line != a").select("a", F.col("line").alias("b"), "line", "odd", "place").distinct()
-        split = split.join(star.select("a", "b", "edits", "reach", F.explode("cells").alias("cell")), ["a", "b"])
-        split = split.select(F.xxhash64("a", "cell").alias("group"), "line", "odd", "edits", "place", "reach")
-        split = split.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
-        split = stage(split, "line-groups")
-        # Only groups with an open line and another one are of use.
-        sizes = split.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("m")).where("n > 1 AND m > 0")
-        groups = split.drop("open").join(sizes.select("group"), "group", "left_semi")
-        left = sizes.agg(F.sum(F.when(F.col("n") > CROWD, F.col("n") * F.col("m"))).alias("crowded")).first()["crowded"] or 0
-        if left == 0 or (last is not None and 2 * left > last):
-            pairs.append(groups)
+        where = star.where("crowd").select("a", F.col("b").alias("line"), F.col("place_b").alias("place"), "edits", "cells", "reach")
+        crowds = stage(opened(members.join(where, ["a", *line])).drop("close"), "line-crowds")
+        # A crowd's cells that hold an open line and another one, if they cost half as much as the crowd; what is left after many splits is left whole.
+        cell = crowds.select("a", F.explode("cells").alias("cell"), "open").groupBy("a", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("m"))
+        cell = stage(cell.where("n > 1 AND m > 0"), "line-cells")
+        split = crowds.groupBy("a").agg(F.count_if("open").alias("m")).where("m > 0").join(sizes, "a")
+        split = split.join(cell.groupBy("a").agg(F.sum(F.expr(f"n * ({row_cost} + m)")).alias("cost")), "a", "left")
+        split = stage(split.where(f"2 * coalesce(cost, 0) <= rows * {row_cost} + squares / n * m").select("a"), "line-split")
+        whole = sizes.join(split, "a", "left_anti")
+        pairs.append(meets.join(whole.where("NOT one"), "a", "left_semi").select("group", *line, "odd", none))
+        pairs.append(members.join(whole.where("one AND NOT crowd"), "a", "left_semi").select(key, *line, "odd", none))
+        pairs.append(crowds.join(whole.where("one"), "a", "left_semi").select(key, *line, "odd", "reach"))
+        if split.isEmpty():
             break
-        last = left
-    columns = ["group", "line", "place", "odd", "reach"]
-    rest = functools.reduce(DataFrame.unionByName, [rows.select(*columns) for rows in pairs])
-    rest = rest.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    rest = stage(rest.dropDuplicates(["group", "line", "place"]), "line-rest")
+        cut = crowds.join(split, "a", "left_semi").select("a", F.explode("cells").alias("cell"), *line, "odd", "edits")
+        groups = stage(cut.join(cell.select("a", "cell"), ["a", "cell"], "left_semi").select(F.xxhash64("a", "cell").alias("group"), *line, "odd", "edits"), "line-groups")
+    rest = opened(functools.reduce(DataFrame.unionByName, pairs))
+    rest = stage(rest.dropDuplicates(["group", *line]), "line-rest")
     sizes = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 AND any").select("group", "n")
-    rest = rest.join(sizes, "group").join(texts.select("line", place.alias("place"), "text"), ["line", "place"]).withColumn("signs", F.lit(None).cast("array<bigint>"))
+    rest = rest.join(sizes, "group").join(texts.select("line", place.alias("place"), "text"), line).withColumn("signs", F.lit(None).cast("array<bigint>"))
     gone = functools.reduce(DataFrame.unionByName, found).distinct().select("*", F.lit(True).alias("goes"), F.lit(None).cast("bigint").alias("n_links"))
     return gone.unionByName(_held(rest, max_edits, False))
 

@@ -305,6 +305,26 @@ def test_lines_go_alike_without_counted_links(table, monkeypatch):
     assert got == brute_lines(rows, None)
 
 
+def test_lines_that_share_many_signs_meet_once(table, monkeypatch):
+    counts, stage = {}, line_dedup.stage
+
+    def noted(rows, name):
+        out = stage(rows, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(6, 8)))
+    base = [word("abcde") for _ in range(40)]
+    rows = [(i, " ".join(word("uvwxyz") if k in some else x for k, x in enumerate(base))) for i in range(300) for some in [rng.sample(range(40), 2)]]
+    rows += [(300 + i, rows[rng.randrange(300)][1][:-1] + "!") for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(rows), count_links=False).collect()}
+    assert got == dict(rows[:300]) | {i: "" for i in range(300, 320)}
+    # All share signs with the first that has them, and each line meets the others of such a first line in one row, not in one per sign or cell.
+    assert counts["line-meets"] > 5000 and counts["line-rest"] < 2000
+
+
 def test_line_dedup_of_odd_rows(table):
     long = "a line that is long enough to be compared"
     rows = ODD + [(20, f"{long}\nx\nx\n\n{long}s", None, None), (21, f"  {long}\t\nx", None, None), (None, f"new words for a line in here\n{long}", None, None)]
