@@ -614,7 +614,7 @@ def _trees(spark, sf_dir) -> dict[str, learners.Fitted]:
     def build():
         rows = b.datasets(spark, sf_dir)
         present = [r["horizon"] for r in rows.where("split = 'val'").select("horizon").distinct().collect()]
-        return {h: learners.train_trees(rows.where(F.col("horizon") == h)) for h in sorted(present)}
+        return learners.train_all_trees({h: rows.where(F.col("horizon") == h) for h in sorted(present)})
 
     return b.keep(spark, sf_dir, "trees", build)
 

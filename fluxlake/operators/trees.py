@@ -5,6 +5,7 @@ The arrays hold the model alone, whose size the settings bound, and are sent to
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -23,6 +24,13 @@ from fluxlake.session import fresh_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def model_metadata(path: str) -> dict:
+    """What a saved model says of itself: its settings and its number of trees."""
+    from pyspark.sql import SparkSession
+
+    return json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])
+
+
 @dataclass
 class FlatTrees:
     """Nodes of all trees, tree by tree. A leaf's ``feature`` is -1 and its children are itself, so that walking on from it stays."""
@@ -41,9 +49,17 @@ class FlatTrees:
         """From the table of nodes that the model's own writer makes."""
         from pyspark.sql import SparkSession
 
-        spark = SparkSession.active()
-        path = fresh_path(spark, "flat_trees")
+        path = fresh_path(SparkSession.active(), "flat_trees")
         model.write().save(path)
+        return FlatTrees.read(path)
+
+    @staticmethod
+    def read(path: str) -> FlatTrees:
+        """From a saved model."""
+        from pyspark.sql import SparkSession
+
+        spark, about = SparkSession.active(), model_metadata(path)
+        weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "about", "weight").toPandas().sort_values("tree")["weight"].to_numpy()
         node = F.col("nodeData")
         nodes = spark.read.parquet(f"{path}/data").select(
             "treeID", node["id"].alias("id"), node["prediction"].alias("value"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
@@ -57,7 +73,7 @@ class FlatTrees:
         feature = np.where(leaf, -1, nodes["feature"])
         return FlatTrees(
             feature.astype(np.int32), nodes["threshold"].fillna(0.0).to_numpy(), left.astype(np.int64), right.astype(np.int64), nodes["value"].to_numpy(),
-            roots, np.array(model.treeWeights), int(model._java_obj.getMaxDepth()),
+            roots, weights, int((about["defaultParamMap"] | about["paramMap"])["maxDepth"]),
         )
 
     def rounds(self, rows: np.ndarray) -> np.ndarray:

@@ -104,6 +104,35 @@ def test_search_cuts_at_the_best_round(fitted):
     assert len(errors) <= trees.params["n_estimators"]
 
 
+def test_search_begins_again_seldom_and_fits_no_model_twice(spark, monkeypatch):
+    rng, fits, boost = np.random.default_rng(3), [], learners.boost
+    x = rng.normal(size=(400, 2))
+    rows = [("A", "val" if i % 4 == 0 else "train", float(x[i, 0]), float(x[i, 1]), float(x[i, 0] + x[i, 1])) for i in range(400)]
+    data = spark.createDataFrame(rows, "horizon string, split string, a double, b double, y double").coalesce(1).cache()
+
+    def noted(rows, rounds, *setting):
+        fits.append((setting[:3], rounds))
+        return boost(rows, rounds, *setting)
+
+    monkeypatch.setattr(learners, "boost", noted)
+    monkeypatch.setattr(learners, "FIRST_ROUNDS", 3)
+    grid = {"n_estimators": [6, 48], "max_depth": [2], "learning_rate": [0.1], "subsample": [0.8, 1.0]}
+    found = learners.train_all_trees({"A": data, "B": data}, ["a", "b"], grid, 5)
+    # The errors of this smooth target fall up to the last round; each of the two horizons' settings is fitted thrice, and the best not once more.
+    assert sorted(fits) == sorted([((2, 0.1, s), n) for s in (0.8, 1.0) for n in (3, 12, 48)] * 2)
+    best = found["A"]
+    assert found["B"].trials == best.trials and best.params["n_estimators"] == 48 and best.model.getNumTrees == 48 == best.model.getMaxIter()
+    own = boost(learners.assemble(data, ["a", "b"]), 6, 2, 0.1, 1.0, 7)
+    learners.save_trees(boost(learners.assemble(data, ["a", "b"]), 9, 2, 0.1, 1.0, 7), path := learners.fresh_path(spark, "nine"))
+    cut = learners.cut_trees(path, 6)
+    total = lambda model: learners.predict_trees(learners.Fitted(model, ["a", "b"]), data).agg(F.sum("tree_pred")).first()[0]
+    assert total(cut) == total(own) and cut.numFeatures == 2 and cut.getNumTrees == 6 == cut.getMaxIter()
+
+
+def test_lengths_end_with_the_most_and_cost_little_more():
+    assert learners.lengths(600) == [32, 139, 600] and learners.lengths(300) == [32, 98, 300] and learners.lengths(8) == [8]
+
+
 @pytest.mark.parametrize("count, length, chunk_rows", [(60, 5, 7), (40, 5, 4096), (9, 5, 7), (5, 5, 100), (23, 1, 6), (300, 24, 32)])
 def test_window_ridge_equals_direct_fit(spark, count, length, chunk_rows):
     rng = np.random.default_rng(count)
