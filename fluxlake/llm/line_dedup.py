@@ -33,8 +33,8 @@ NEAR_CHARS = 24
 SPACES = " \t\n\r\x0b\x0c"
 PARITY_BITS = 256
 # Code points hashed at a time, signs packed at a time, signs of a task and of a line on average, bits of a sign kept in a bucket.
-BLOCK = 1 << 20
-PACK_SIGNS = 1 << 21
+BLOCK = 1 << 18
+PACK_SIGNS = 1 << 20
 TASK_SIGNS = 8_000_000
 LINE_SIGNS = 36
 PACK_BITS = 39
@@ -83,8 +83,37 @@ def substrings(length: int, indexed: int, max_edits: int) -> list[tuple[int, int
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * _MIX
-    return x ^ x >> np.uint64(29)
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the code points of the first plane; powers of the polynomial's base, and their inverses. Made once in each worker."""
+    of = np.full(BLOCK, _BASE, np.uint64), np.full(BLOCK, pow(_BASE, -1, 1 << 64), np.uint64)
+    return _mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)), *(_powers(x) for x in of)
+
+
+def _powers(factors: np.ndarray) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), factors)), dtype=np.uint64)
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial over the code points of ``text``, and the inverse of the power that each begins with."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    number, power, inverse = _tables()
+    if len(power) <= len(points):
+        # Only a line that is longer than a block.
+        power, inverse = (_powers(np.full(len(points), x[1])) for x in (power, inverse))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    # Clipping is only a quicker way of indexing here: nothing lies outside.
+    terms = number.take(points, mode="clip") if points.max(initial=0) < len(number) else _mixed(points.astype(np.uint64) + np.uint64(1))
+    terms *= power[:len(points)]
+    np.cumsum(terms, out=sums[1:])
+    return sums, inverse
 
 
 def signs(lines: list[str], max_edits: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool, int]]:
@@ -95,14 +124,10 @@ def signs(lines: list[str], max_edits: int | None) -> Iterator[tuple[np.ndarray,
     """
     sizes = np.array([len(line) for line in lines], np.int64)
     ends = np.cumsum(sizes)
-    first, powers = 0, [np.ones(1, np.uint64)] * 2
+    first = 0
     while first < len(lines):
         last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + BLOCK, "right")))
-        points = np.frombuffer("".join(lines[first:last]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        if len(powers[0]) <= len(points):
-            powers = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(points), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-        power, inverse = powers
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(points + np.uint64(1)) * power[:len(points)], dtype=np.uint64)))
+        sums, inverse = _sums("".join(lines[first:last]))
         size, begin = sizes[first:last], ends[first:last] - sizes[first:last] - (ends[first] - sizes[first])
         least, most = edits_of(0, max_edits), edits_of(1 << 60, max_edits)
         for less in range(most + 1):
@@ -110,21 +135,25 @@ def signs(lines: list[str], max_edits: int | None) -> Iterator[tuple[np.ndarray,
                 of = np.flatnonzero((size - less >= NEAR_CHARS) & (_edits(size - less, max_edits) == edits))
                 if not len(of):
                     continue
-                indexed = size[of] - less
+                indexed, begins = size[of] - less, begin[of]
                 base, extra = np.divmod(indexed, edits + 1)
                 for number in range(edits + 1):
                     right = edits - number
                     start, part = number * base + np.maximum(0, number - (edits + 1 - extra)), base + (number > edits - extra)
-                    low = np.maximum(np.maximum(start - number, start + less - right), 0)
-                    high = np.minimum(np.minimum(start + number, start + less + right), size[of] - part)
-                    for shift in range(-number, number + 1):
-                        at = start + shift
-                        some = (at >= low) & (at <= high)
+                    tag = _mixed(((indexed.astype(np.uint64) << np.uint64(8)) | np.uint64(number)) * _MIX)
+                    for shift in range(max(-number, less - right), min(number, less + right) + 1):
+                        at, which, length, salt = start + shift, of, part, tag
+                        where = begins + at
+                        if not base.all():
+                            # Segments without a code point: some would begin or end outside the line.
+                            some = (at >= 0) & (at <= size[of] - part)
+                            where, which, length, salt = where[some], of[some], part[some], tag[some]
                         # Of lines of one length, index rows meet index rows for segments in the same place.
-                        where = begin[of[some]] + at[some]
-                        value = (sums[where + part[some]] - sums[where]) * inverse[where]
-                        tag = (indexed[some].astype(np.uint64) << np.uint64(8)) | np.uint64(number)
-                        yield first + of[some], _mixed(_mixed(value) ^ _mixed(tag * _MIX)), bool(less or shift), edits
+                        value = sums[where + length]
+                        value -= sums[where]
+                        value *= inverse[where]
+                        value ^= salt
+                        yield first + which, _mixed(value), bool(less or shift), edits
         first = last
 
 
@@ -259,15 +288,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for nameless, name, version, text in frame.itertuples(index=False, name=None):
-                seen = set()
+            digests, places, counts = [], [], []
+            for text in frame["text"]:
+                first: dict[str, int] = {}
                 for pos, line in enumerate(_stripped(text)):
-                    if len(line) >= MIN_CHARS and line not in seen:
-                        seen.add(line)
-                        rows.append((xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), nameless, name, version, pos))
-            if rows:
-                yield pd.DataFrame(rows, columns=["digest", "nameless", "id", "version", "pos"])
+                    if len(line) >= MIN_CHARS:
+                        first.setdefault(line, pos)
+                digests += [xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in first]
+                places += first.values()
+                counts.append(len(first))
+            if digests:
+                of = {name: np.repeat(frame[name].to_numpy(), counts) for name in ("nameless", "id", "version")}
+                yield pd.DataFrame({"digest": digests, **of, "pos": places})
 
     return docs.select("nameless", "id", "version", "text").mapInPandas(run, "digest binary, " + _place(docs))
 
@@ -319,7 +351,9 @@ def _meeting(firsts: DataFrame, max_edits: int | None) -> DataFrame:
         held, count = [], 0
         for frame in frames:
             for _, sign, probe, _ in signs(_near_able(frame)[0], max_edits):
-                held.append((sign & ~np.uint64(1)) | np.uint64(probe))
+                sign &= ~np.uint64(1)
+                sign |= np.uint64(probe)
+                held.append(sign)
                 count += len(sign)
                 if count >= PACK_SIGNS:
                     yield packed(held)
@@ -488,6 +522,8 @@ def near_lines(firsts: DataFrame, max_edits: int | None, count_links: bool = Tru
     ``firsts``: rows ``(nameless, id, version, text, firsts)`` with the positions of the representatives in a text.
     """
     spark = firsts.sparkSession
+    # Python gets these columns only.
+    firsts = firsts.select("nameless", "id", "version", "text", "firsts")
     wanted = spark.sparkContext.broadcast(member_filter(_meeting(firsts, max_edits), "number"))
     rows = stage(_signatures(firsts, max_edits, wanted), "line-signs")
     wanted.destroy()
@@ -524,13 +560,15 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
     row_cost = ROW_CROWDS * CROWD
 
     @F.pandas_udf("near boolean, edits int, cells array<int>, reach array<int>")
-    def against(pivot: pd.Series, line: pd.Series, crowd: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, split in zip(pivot, line, crowd):
-            most = edits_of(min(len(a), len(b)), max_edits)
-            near, of, ends = cells(b, a, max_edits) if split else (edit_distance(a, b, most) <= most, [], None)
-            rows.append((near, edits_of(len(b), max_edits), of, ends))
-        return pd.DataFrame(rows, columns=["near", "edits", "cells", "reach"])
+    def against(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, split in zip(*batch):
+                most = edits_of(min(len(a), len(b)), max_edits)
+                near, of, ends = cells(b, a, max_edits) if split else (edit_distance(a, b, most) <= most, [], None)
+                rows.append((near, edits_of(len(b), max_edits), of, ends))
+            yield pd.DataFrame(rows, columns=["near", "edits", "cells", "reach"])
+        give_back()
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         of = lambda x: texts.select(F.col("line").alias(x), place.alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
@@ -615,8 +653,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     touched = near.groupBy(*key).agg(F.collect_set(F.when(F.col("goes"), F.col("pos"))).alias("near"), F.sum("n_links").alias("n_links"))
 
     @F.pandas_udf("text string, n_lines bigint, n_exact bigint, n_near bigint")
-    def rest(texts: pd.Series, first: pd.Series, near: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_rest(*x) for x in zip(texts, first, near)], columns=["text", "n_lines", "n_exact", "n_near"])
+    def rest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for x in zip(*batch):
+                text, count, exact, close = _rest(*x)
+                # A text that lost nothing is not sent back.
+                rows.append((text if exact or close else None, count, exact, close))
+            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_exact", "n_near"])
+        give_back()
 
     # Few documents have near repeats: only rows that the filter lets through are joined by a shuffle.
     some = spark.sparkContext.broadcast(member_filter(touched, F.xxhash64(*key)))
@@ -632,8 +677,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "near": F.coalesce("near", F.array().cast("array<int>")), "n_links": F.coalesce("n_links", no_links),
     })
     done = none.unionByName(both).withColumn("rest", rest("text", "firsts", "near"))
-    return done.select("row", "rest", "n_links").select(
-        *[(F.col("rest.text") if name == text_col else F.col(f"row.`{name}`")).alias(name) for name in docs.columns],
+    left = F.when(F.col("rest.n_exact") + F.col("rest.n_near") > 0, F.col("rest.text")).otherwise(F.col("text"))
+    return done.select("row", "rest", "n_links", left.alias("left")).select(
+        *[(F.col("left") if name == text_col else F.col(f"row.`{name}`")).alias(name) for name in docs.columns],
         F.struct("rest.n_lines", "rest.n_exact", "rest.n_near", "n_links").alias(report),
     )
 
@@ -642,7 +688,7 @@ def _rest(text: str | None, firsts, near) -> tuple[str | None, int, int, int]:
     """The text without its repeats, and the numbers of lines with a word, exact and near repeats."""
     if text is None:
         return None, 0, 0, 0
-    firsts, near, seen, kept = set(firsts), set(near), set(), []
+    firsts, near, seen, kept = *(set(np.asarray(x).tolist()) for x in (firsts, near)), set(), []
     count = exact = close = 0
     for pos, (line, bare) in enumerate(zip(text.split("\n"), _stripped(text))):
         if bare:

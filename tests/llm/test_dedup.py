@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fluxlake.llm import exact_dedup, line_dedup, simhash
-from fluxlake.llm.common import components
+from fluxlake.llm.common import MemberFilter, components
 from tests.llm.conftest import ODD
 
 SPACES = " \t\n\r\x0b\x0c"
@@ -173,6 +173,41 @@ def test_signs_are_those_of_segments_and_substrings(monkeypatch):
         assert len(set().union(*told.values())) == len({one for rows in got.values() for one, _, _ in rows})
 
 
+def test_signs_of_lines_with_more_segments_than_code_points():
+    lines = ["".join(random.Random(n).choices("ab", k=n)) for n in (24, 25, 27, 31)]
+    for which, sign, probe, edits in line_dedup.signs(lines, 30):
+        assert len(which) == len(sign) and edits == 30
+    got = sorted(i for which, *_ in line_dedup.signs(lines, 30) for i in which.tolist())
+    assert got == sorted(i for i, x in enumerate(lines) for n in range(max(24, len(x) - 30), len(x) + 1) for _ in line_dedup.substrings(len(x), n, 30))
+
+
+def test_powers_are_made_once_for_all_frames(monkeypatch):
+    made, cumprod = [], np.cumprod
+    monkeypatch.setattr(np, "cumprod", lambda *a, **b: made.append(a) or cumprod(*a, **b))
+    for _ in range(5):
+        assert len(list(line_dedup.signs(["a line of more than twenty-four letters"], None)))
+    assert len(made) <= 2
+
+
+def test_member_filter_holds_its_members_and_few_others():
+    rng = np.random.default_rng(5)
+    numbers, words = rng.integers(-(1 << 63), 1 << 63, 20_000), np.zeros(1 << (MemberFilter.BITS - 6), np.uint64)
+    for x in numbers[:10_000].tolist():
+        for slot in (x & (1 << MemberFilter.BITS) - 1, (x & (1 << 64) - 1) >> 64 - MemberFilter.BITS):
+            words[slot >> 6] |= np.uint64(1 << (slot & 63))
+    held = MemberFilter(words).hold(numbers)
+    assert held[:10_000].all() and held[10_000:].sum() < 10 and MemberFilter(words).hold([]).shape == (0,)
+
+
+def test_python_is_handed_only_the_columns_that_it_reads(table, monkeypatch):
+    handed, meeting = [], line_dedup._meeting
+    monkeypatch.setattr(line_dedup, "_meeting", lambda firsts, most: handed.append(firsts.columns) or meeting(firsts, most))
+    rows = [(1, "the same line of many letters\nand one more line of letters"), (2, "the same line of many letters"), (3, "and one more lime of letters"), (4, None), (5, "")]
+    got = {r.doc_id: (r.text, r.lang) for r in line_dedup.dedup_lines(table(rows)).collect()}
+    assert got == {1: (rows[0][1], None), 2: ("", None), 3: ("", None), 4: (None, None), 5: ("", None)}
+    assert handed == [["nameless", "id", "version", "text", "firsts"]]
+
+
 def test_lines_with_two_edits_or_more_go_at_any_length(table):
     rng = random.Random(12)
     rows, gone = [], set()
