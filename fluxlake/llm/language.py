@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import crc_slot, documents, small_batches
+from fluxlake.llm.common import crc_slot, documents, give_back, small_batches
 from fluxlake.session import stage
 
 # Cells that n-grams are hashed to, landmarks and labelled rows per language that a model is fitted on at most, ridge.
@@ -24,7 +24,8 @@ LANDMARKS = 24
 FIT_ROWS = 300
 RIDGE = 1e-3
 MAX_N = 3
-BATCH = 256
+# Texts of a batch: each takes four bytes a cell.
+BATCH = 64
 # Code points hashed at a time, which bounds the memory of a very long text.
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -95,9 +96,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def cells_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             yield pd.Series([np.packbits(grams(text)).tobytes() if has_letter(text) else None for text in series], dtype=object)
+        give_back()
 
-    sample = rows.where(turn < limit).select("id", "lang", turn.alias("turn"), cells_of("text").alias("cells")).where("cells IS NOT NULL")
-    sample = stage(sample, "language-sample")
+    # NULL cells go after staging: a filter in front of it would call Python once more for every row.
+    sample = rows.where(turn < limit).select("id", "lang", turn.alias("turn"), cells_of("text").alias("cells"))
+    sample = stage(sample, "language-sample").where("cells IS NOT NULL")
     picked = []
     for lang in sorted(sizes):
         picked += sample.where(F.col("lang") == lang).orderBy("turn", "id", "cells").limit(most).collect()
@@ -107,6 +110,17 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Model(cells, [r["lang"] for r in picked])
 
 
+def predicted(model: Model | None, texts: np.ndarray) -> pd.DataFrame:
+    """``lang`` and ``score`` of each text, a few texts at a time."""
+    lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    known = [i for i, text in enumerate(texts) if model is not None and has_letter(text)]
+    for start in range(0, len(known), BATCH):
+        rows = known[start:start + BATCH]
+        best, value = model.predict(np.stack([grams(texts[i]) for i in rows]))
+        lang[rows], score[rows] = np.array(model.names, object)[best], value
+    return pd.DataFrame({"lang": lang, "score": score})
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``language_found``: a struct of ``lang`` and ``score``.
 
@@ -119,14 +133,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
         for series in texts:
-            lang, score = np.full(len(series), UNKNOWN, object), np.zeros(len(series))
-            known = [i for i, text in enumerate(series) if model is not None and has_letter(text)]
-            values = series.to_numpy()
-            for start in range(0, len(known), BATCH):
-                rows = known[start:start + BATCH]
-                best, value = model.predict(np.stack([grams(values[i]) for i in rows]))
-                lang[rows], score[rows] = np.array(model.names, object)[best], value
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield predicted(model, series.to_numpy())
+        give_back()
 
     return docs.withColumn("language_found", of(F.col(text_col)))
 

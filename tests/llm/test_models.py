@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -198,6 +199,26 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_prediction_holds_few_texts_at_a_time():
+    texts = np.array([" ".join(f"{a}{b}" for b in "abcdef") for a in "uvwxyz" * 100], object)
+    model = language.Model(np.stack([language.grams(t) for t in texts[:6]]), ["x", "y"] * 3)
+    tracemalloc.start()
+    found = language.predicted(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 600 and peak < 24 << 20
+    alone = [model.predict(language.grams(t)[None]) for t in texts[:6]]
+    assert found["lang"][:6].tolist() == [model.names[k] for (k,), _ in alone]
+    assert np.allclose(found["score"][:6], [x for _, (x,) in alone])
+
+
+def test_sample_calls_python_once_for_each_row(table, monkeypatch):
+    plans, stage = [], language.stage
+    monkeypatch.setattr(language, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name))
+    model = language.fit(table([(i, t, "xy"[i % 2], None) for i, t in enumerate(["ab", "cd", "12", "", "ef"])]))
+    assert model.names == ["x", "y"] and [plan.count("ArrowEvalPython") for plan in plans] == [1]
+
+
 def test_languages_of_odd_rows(table):
     rows = ODD + [(i, t, lang, None) for i in range(50, 90) for t, lang in [(f"der und die {i}", "de") if i % 2 else (f"the and of {i}", "en")]]
     got = {r.doc_id: r for r in language.language_id(table(rows)).collect()}
