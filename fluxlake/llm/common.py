@@ -62,6 +62,15 @@ def crc_slot(doc_id: Column, slots: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % slots
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join by a shuffle, however small Spark takes them to be.
+
+    Spark counts one row out of an explode for each row into it, takes a column for a fixed number of bytes and a scan for its packed
+    bytes. A table that grows with the input may therefore be sized below the threshold at which the driver collects and broadcasts it.
+    """
+    return rows.hint("merge")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with one ``right`` row per key, where ``weight`` is the key's number of left rows.
 

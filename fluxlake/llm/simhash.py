@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import components, documents, hot_join, small_batches
+from fluxlake.llm.common import by_shuffle, components, documents, hot_join, small_batches
 from fluxlake.session import stage
 
 SEED = 42
@@ -109,7 +109,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
             edges = _midpoints(met.distinct(), distance // 2)
             table, probes = table.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    pairs = table.join(probes, "key").where(near).select("a", "b").distinct()
+    pairs = table.join(by_shuffle(probes), "key").where(near).select("a", "b").distinct()
     return pairs if edges is None else pairs.unionByName(edges)
 
 
@@ -123,7 +123,7 @@ def _midpoints(prints: DataFrame, radius: int) -> DataFrame:
     masks = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in flips])
     points = prints.select(F.col("fp").alias("a"), F.explode(masks).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("b"))
     shared = points.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
-    return points.join(shared, "b").select("a", "b")
+    return points.join(by_shuffle(shared), "b").select("a", "b")
 
 
 _ROW = ("nameless", "id", "version")
@@ -146,11 +146,11 @@ def simhash_groups(
     total = prints.count()
     distinct = stage(prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), distance, segments))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(by_shuffle(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, "fingerprint-roots")
     heads = placed.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("prints"))
-    placed = hot_join(placed.drop("first"), heads, "root", "prints", placed.count()).select("fp", "head", "copies")
-    return hot_join(prints, placed, "fp", "copies", total).select(
+    placed = hot_join(placed.drop("first"), by_shuffle(heads), "root", "prints", placed.count()).select("fp", "head", "copies")
+    return hot_join(prints, by_shuffle(placed), "fp", "copies", total).select(
         F.col("row.id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.id").alias("component_id"),
         "fp", "row", F.col("head").alias("first"),
     )
@@ -168,7 +168,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.col(text_col), F.lit(1)).alias("version"), F.struct("*").alias("whole"),
     )
     turn = F.row_number().over(Window.partitionBy(*_ROW).orderBy(F.lit(1)))
-    return rows.join(first, list(_ROW), "left_semi").withColumn("turn", turn).where("turn = 1").select("whole.*")
+    return rows.join(by_shuffle(first), list(_ROW), "left_semi").withColumn("turn", turn).where("turn = 1").select("whole.*")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fluxlake.llm import exact_dedup, line_dedup, simhash
 from fluxlake.llm.common import MemberFilter, components
+from fluxlake.session import stage
 from tests.llm.conftest import ODD
 
 SPACES = " \t\n\r\x0b\x0c"
@@ -439,6 +441,13 @@ def test_crowded_segments_give_the_same_components(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values())) and len(groups) > 30
 
 
+def test_rows_made_by_an_explode_are_not_broadcast(spark):
+    prints = stage(spark.range(300).select(F.xxhash64("id").alias("fp")), "prints")
+    for edges in (simhash.links(prints), simhash._midpoints(prints, 2)):
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(300, 300)]
     random.Random(2).shuffle(edges)
