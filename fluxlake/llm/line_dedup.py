@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import documents, give_back, member_filter, parts_for, small_batches
+from fluxlake.llm.common import by_shuffle, documents, give_back, member_filter, parts_for, small_batches
 from fluxlake.session import fresh_path, stage
 
 # Edits of a near-duplicate: two at any length (a swapped pair of letters, a two-digit number), and one more from each of these lengths.
@@ -530,7 +530,7 @@ def near_lines(firsts: DataFrame, max_edits: int | None, count_links: bool = Tru
     rows = rows.groupBy("sign", "line").agg(F.min("probe").alias("probe"), F.first("edits").alias("edits"))
     # Signs of one line alone were let through by chance; near lines share a sign that is a segment of one of them.
     met = rows.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("probe")).where("n > 1 AND NOT probe").select("sign", "n")
-    rows = stage(rows.join(met, "sign"), "line-meets")
+    rows = stage(rows.join(by_shuffle(met), "sign"), "line-meets")
     held = spark.sparkContext.broadcast(member_filter(rows.select("line"), "line"))
     # Rows that repeat id and text hold the same lines in the same places: one of each is enough, and is not near itself.
     texts = stage(_texts(firsts, held).dropDuplicates(["line", "nameless", "id", "version", "pos"]), "line-texts")
@@ -538,11 +538,11 @@ def near_lines(firsts: DataFrame, max_edits: int | None, count_links: bool = Tru
     place = F.struct("nameless", "id", "version", "pos")
     if count_links:
         signs_of = rows.groupBy("line").agg(F.collect_list("sign").alias("signs"))
-        known = texts.join(signs_of, "line").select("line", place.alias("place"), "text", "odd", "signs")
-        groups = rows.select(F.col("sign").alias("group"), "n", "line").join(known, "line").withColumns({"open": F.lit(True), "reach": F.lit(None).cast("array<int>")})
+        known = texts.join(by_shuffle(signs_of), "line").select("line", place.alias("place"), "text", "odd", "signs")
+        groups = rows.select(F.col("sign").alias("group"), "n", "line").join(by_shuffle(known), "line").withColumns({"open": F.lit(True), "reach": F.lit(None).cast("array<int>")})
         found = _held(groups, max_edits, True)
     else:
-        placed = stage(rows.join(texts.select("line", place.alias("place"), "odd"), "line").drop("n"), "line-places")
+        placed = stage(rows.join(by_shuffle(texts.select("line", place.alias("place"), "odd")), "line").drop("n"), "line-places")
         found = _by_pivots(placed, texts, max_edits)
     return found.groupBy("nameless", "id", "version", "pos").agg(F.max("goes").alias("goes"), F.sum("n_links").alias("n_links"))
 
@@ -572,10 +572,10 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         of = lambda x: texts.select(F.col("line").alias(x), place.alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where("place_a < place_b")
+        return pairs.join(by_shuffle(of("a")), "a").join(by_shuffle(of("b")), "b").where("place_a < place_b")
 
     def opened(rows: DataFrame) -> DataFrame:
-        return rows.join(settled.withColumn("done", F.lit(True)), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
+        return rows.join(by_shuffle(settled.withColumn("done", F.lit(True))), "line", "left").withColumn("open", F.col("done").isNull()).drop("done")
 
     odd = functools.reduce(Column.__add__, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_a")[i])) for i in range(PARITY_BITS // 64)])
     close = odd <= 4 * F.least("edits", "edits_a")
@@ -585,7 +585,7 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
     while True:
         heads = groups.groupBy("group").agg(F.min(F.struct("place", "line", "odd", "edits")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         heads = heads.select("group", F.col("first.line").alias("a"), F.col("first.odd").alias("odd_a"), F.col("first.edits").alias("edits_a"))
-        meets = groups.join(heads, "group").where("line != a").select("group", "a", *line, "odd", close.alias("close"))
+        meets = groups.join(by_shuffle(heads), "group").where("line != a").select("group", "a", *line, "odd", close.alias("close"))
         meets = stage(meets, "line-members")
         members = stage(meets.groupBy("a", *line).agg(F.first("odd").alias("odd"), F.max("close").alias("close")), "line-pivots")
         # Rows and comparisons of a pivot's groups, apart and as one.
@@ -602,7 +602,7 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
         now = star.where("near").select(F.col("b").alias("line")).distinct()
         settled = stage(now if settled is None else settled.unionByName(now).distinct(), "line-settled")
         where = star.where("crowd").select("a", F.col("b").alias("line"), F.col("place_b").alias("place"), "edits", "cells", "reach")
-        crowds = stage(opened(members.join(where, ["a", *line])).drop("close"), "line-crowds")
+        crowds = stage(opened(members.join(by_shuffle(where), ["a", *line])).drop("close"), "line-crowds")
         # A crowd's cells that hold an open line and another one, if they cost half as much as the crowd; what is left after many splits is left whole.
         cell = crowds.select("a", F.explode("cells").alias("cell"), "open").groupBy("a", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("m"))
         cell = stage(cell.where("n > 1 AND m > 0"), "line-cells")
@@ -620,7 +620,7 @@ def _by_pivots(placed: DataFrame, texts: DataFrame, max_edits: int | None) -> Da
     rest = opened(functools.reduce(DataFrame.unionByName, pairs))
     rest = stage(rest.dropDuplicates(["group", *line]), "line-rest")
     sizes = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 AND any").select("group", "n")
-    rest = rest.join(sizes, "group").join(texts.select("line", place.alias("place"), "text"), line).withColumn("signs", F.lit(None).cast("array<bigint>"))
+    rest = rest.join(by_shuffle(sizes), "group").join(by_shuffle(texts.select("line", place.alias("place"), "text")), line).withColumn("signs", F.lit(None).cast("array<bigint>"))
     gone = functools.reduce(DataFrame.unionByName, found).distinct().select("*", F.lit(True).alias("goes"), F.lit(None).cast("bigint").alias("n_links"))
     return gone.unionByName(_held(rest, max_edits, False))
 
@@ -646,7 +646,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = lines.groupBy("digest").agg(F.min(F.struct(*key, "pos")).alias("first")).select("first.*")
     firsts = firsts.groupBy(*key).agg(F.collect_list("pos").alias("firsts"))
     path = fresh_path(spark, "line-firsts")
-    marked = rows.join(firsts, key, "left").withColumn("firsts", F.coalesce("firsts", F.array().cast("array<int>")))
+    marked = rows.join(by_shuffle(firsts), key, "left").withColumn("firsts", F.coalesce("firsts", F.array().cast("array<int>")))
     marked.write.option("compression", "zstd").parquet(path)
     marked = spark.read.schema(marked.schema).parquet(path)
     near = stage(near_lines(marked.where(F.size("firsts") > 0), max_edits, count_links), "line-near")
@@ -673,7 +673,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = marked.withColumn("maybe", may_be_touched(F.xxhash64(*key)))
     no_links = F.lit(0 if count_links else None).cast("long")
     none = marked.where(~F.col("maybe")).select("*", F.array().cast("array<int>").alias("near"), no_links.alias("n_links"))
-    both = marked.where("maybe").join(touched, key, "left").withColumns({
+    both = marked.where("maybe").join(by_shuffle(touched), key, "left").withColumns({
         "near": F.coalesce("near", F.array().cast("array<int>")), "n_links": F.coalesce("n_links", no_links),
     })
     done = none.unionByName(both).withColumn("rest", rest("text", "firsts", "near"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import documents, word_count
+from fluxlake.llm.common import by_shuffle, documents, word_count
 from fluxlake.session import stage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -99,7 +99,7 @@ def mix(
     starts = slices.select("unnamed", "name", "slice", F.coalesce(F.sum("words").over(order), F.lit(0)).alias("start"))
     starts = starts.join(wanted, ["unnamed", "name"])
     inside = Window.partitionBy("unnamed", "name", "slice").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
-    queue = base.withColumn("inside", F.sum("size").over(inside)).join(starts, ["unnamed", "name", "slice"])
+    queue = base.withColumn("inside", F.sum("size").over(inside)).join(by_shuffle(starts), ["unnamed", "name", "slice"])
     queue = stage(
         queue.select("doc_id", "source", "turn", "size", "source_size", "target", (F.col("start") + F.col("inside")).alias("upto")), "mix-queue"
     )
@@ -124,7 +124,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_unnamed": F.col("source").isNull()}
     taken = mix(docs, id_col, text_col, source_col, **settings).where("copies > 0")
     taken = taken.select(*[c.alias(n) for n, c in of_mix.items()], "copies", "finish", (F.col("source_size") / F.col("target")).alias("_again")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in named.items()]).join(taken, list(named))
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in named.items()]).join(by_shuffle(taken), list(named))
     passes = rows.select("_row", "finish", "_again", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_pass"))
     placed = passes.select("_row", (F.col("finish") + F.col("_pass") * F.col("_again")).alias("_finish"))
     return placed.repartitionByRange("_finish").sortWithinPartitions("_finish").select("_row.*")

@@ -362,6 +362,21 @@ def test_lines_that_share_many_signs_meet_once(table, monkeypatch):
     assert counts["line-meets"] > 5000 and counts["line-rest"] < 2000
 
 
+@pytest.mark.parametrize("count_links", [True, False])
+def test_tables_of_lines_are_not_broadcast(table, monkeypatch, count_links):
+    plans, text = {}, "a line that stands in many a document with a number, {}"
+
+    def noted(rows, name):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        return stage(rows, name)
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    done = line_dedup.dedup_lines(table([(i, text.format(i)) for i in range(8)]), count_links=count_links)
+    plans["done"] = done._jdf.queryExecution().executedPlan().toString()
+    for name in ("line-meets", "line-near", "done", *([] if count_links else ["line-places", "line-members", "line-crowds"])):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
+
+
 def test_line_dedup_of_odd_rows(table):
     long = "a line that is long enough to be compared"
     rows = ODD + [(20, f"{long}\nx\nx\n\n{long}s", None, None), (21, f"  {long}\t\nx", None, None), (None, f"new words for a line in here\n{long}", None, None)]

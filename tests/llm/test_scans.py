@@ -110,6 +110,21 @@ def test_mix_meets_targets(table, seed):
     assert sum(len(WORD.findall(r.text)) for r in mixed) == sum(taken.values())
 
 
+def test_mix_joins_documents_by_shuffles(table, monkeypatch):
+    plans, stage = {}, source_mix.stage
+
+    def noted(rows, name):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        return stage(rows, name)
+
+    monkeypatch.setattr(source_mix, "stage", noted)
+    mixed = source_mix.mixed_documents(table([(i, "a few words", None, "ab"[i % 2]) for i in range(9)]))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # One row per source may be broadcast, the sizes of documents may not.
+    assert "SortMergeJoin" in plans["mix-queue"] and "BuildLeft" not in plans["mix-queue"]
+
+
 def test_mix_is_the_order_of_finish_times_up_to_the_budget(table):
     rows = [(i, "w " * (1 + i * 7 % 11), None, "ab"[i % 2]) for i in range(60)]
     got = source_mix.mix(table(rows)).collect()
